@@ -35,6 +35,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), _bpe_path(), capacity=1024, end_id=2)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearframe.llm import minhash
+
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), words=4)
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearframe.llm import media
 
@@ -42,11 +48,23 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(stored.drop("text")).drop("media").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearframe.llm import suffix
+
+    out = suffix.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"), min_len=200)
+    return out.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed",
+        F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict:
     return {
         "op3_bpe": op3_bpe,
         "op4_packing": op4_packing,
+        "op5_near_duplicates": op5_near_duplicates,
         "op6_media": op6_media,
+        "op8_suffix": op8_suffix,
     }
 
 
