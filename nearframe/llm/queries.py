@@ -17,6 +17,61 @@ def _bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearframe.llm import licenses
+
+    out = licenses.scan(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "license", F.round("dice", 6).alias("dice"), "n_matches")
+
+
+def _op1_sql() -> str:
+    from nearframe.llm import licenses
+
+    made = [(name, licenses.bigrams(t)) for name, ts in sorted(licenses.TEMPLATES.items()) for t in ts]
+    values = ", ".join("('{}', [{}])".format(n, ", ".join(f"'{b}'" for b in bs)) for n, bs in made)
+    t = licenses.THRESHOLD
+    return f"""
+WITH templates AS (SELECT * FROM (VALUES {values}) v(name, grams)),
+u AS (
+  SELECT DISTINCT doc_id, unit FROM (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit FROM documents
+    UNION ALL SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\n[ \\t\\r]*\\n')) FROM documents
+    UNION ALL SELECT doc_id, coalesce(text, '') FROM documents)
+), w AS (
+  SELECT doc_id, unit, list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM u
+), g AS (
+  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w
+), m AS (
+  SELECT g.doc_id, g.unit, max(struct_pack(dice := 2.0::DOUBLE * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)), name := t.name)) AS best
+  FROM g JOIN templates t ON len(g.grams) BETWEEN {t / (2 - t)} * len(t.grams) AND {(2 - t) / t} * len(t.grams)
+  GROUP BY g.doc_id, g.unit
+), b AS (
+  SELECT doc_id, max(best) AS best, count(*) AS n FROM m WHERE best.dice >= {t} GROUP BY doc_id
+)
+SELECT d.doc_id, b.best.name AS license, round(coalesce(b.best.dice, 0.0), 6) AS dice, coalesce(b.n, 0) AS n_matches
+FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id
+"""
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: declared language, and the source as host."""
+    from nearframe.llm import langid
+
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    out = langid.identify(docs, langid.fit(docs), declared=F.col("lang"), host=F.col("source"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("declared"), "lang_id", F.round("posterior", 6).alias("posterior"), "kept", "text_lang")
+
+
+def op2_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages: declared by their markup, with address suffix and host; the text model comes from documents."""
+    from nearframe.llm import langid
+
+    model = langid.fit(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    pages = langid.page_evidence(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    out = langid.identify(pages, model, declared=F.col("declared"), host=F.col("host"), suffix=langid.suffix_of(F.col("host")))
+    return out.select("page_id", "declared", "host", "lang_id", F.round("posterior", 6).alias("posterior"), "kept", "text_lang")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearframe.llm import bpe
 
@@ -48,6 +103,12 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(stored.drop("text")).drop("media").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearframe.llm import fingerprint
+
+    return fingerprint.compare_with_next(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearframe.llm import suffix
 
@@ -145,10 +206,14 @@ FROM e GROUP BY conv_id
 
 def queries() -> dict:
     return {
+        "op1_licenses": op1_licenses,
+        "op2_language_id": op2_language_id,
+        "op2_language_id_pages": op2_language_id_pages,
         "op3_bpe": op3_bpe,
         "op4_packing": op4_packing,
         "op5_near_duplicates": op5_near_duplicates,
         "op6_media": op6_media,
+        "op7_fingerprints": op7_fingerprints,
         "op8_suffix": op8_suffix,
         "op9_chat": op9_chat,
         "op10_line_dedup": op10_line_dedup,
@@ -156,4 +221,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_licenses": _op1_sql(), "op9_chat": OP9_SQL, "op10_line_dedup": OP10_SQL}
