@@ -59,10 +59,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = suffix.remove_repeats(docs.select(*COLUMNS), min_len=REPEAT_BYTES)
     # a cut can fall inside a character: what is left of it goes too
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.replace(F.decode(F.col("kept"), F.lit("UTF-8")), F.lit("�"), F.lit("")))
-    return _with_text(out.where("n_removed < n_bytes"), text)
+    out = suffix.remove_repeats(docs.select(*COLUMNS), min_len=REPEAT_BYTES, as_text=True)
+    return _with_text(out.where("n_removed < n_bytes"), F.col("kept"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -322,11 +322,11 @@ def repeated_spans(docs: DataFrame, min_len: int, scratch: Scratch) -> DataFrame
     return scratch.write(whole.union(part), "spans")
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", min_len: int = 200, id_col: str = "doc_id") -> DataFrame:
+def remove_repeats(df: DataFrame, text_col: str = "text", min_len: int = 200, id_col: str = "doc_id", as_text: bool = False) -> DataFrame:
     """Adds what is left of each text without the bytes of repeated strings of min_len bytes, judged on the input.
 
-    Adds n_bytes, n_removed, spans array<struct<s,e>> (maximal removed runs of bytes) and kept binary; columns
-    of these names are replaced. A null text counts as empty; matches never cross rows; rows that repeat an id
+    Adds n_bytes, n_removed, spans array<struct<s,e>> (maximal removed runs of bytes) and kept binary (as_text:
+    a string, without the bytes of characters that a cut has split); columns of these names are replaced. A null text counts as empty; matches never cross rows; rows that repeat an id
     are texts of their own, and copies of each other if their texts are equal. An empty table gives an empty
     table. Texts of any length are treated whole.
     """
@@ -343,7 +343,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", min_len: int = 200, id
     own = keyed.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), "k1", "k2", text.alias("text"))
     joined = own.join(per_doc, ["k1", "k2"], "left").select("row", "text", "spans")
     fields = [T.StructField("row", joined.schema["row"].dataType)] + T._parse_datatype_string(
-        "n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary").fields
+        f"n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept {'string' if as_text else 'binary'}").fields
     span_type = pa.list_(pa.struct([pa.field("s", pa.int64()), pa.field("e", pa.int64())]))
 
     def run(batches):
@@ -363,8 +363,8 @@ def remove_repeats(df: DataFrame, text_col: str = "text", min_len: int = 200, id
                 size.append(len(raw))
                 gone.append(len(raw) - len(left))
                 runs.append([{"s": s, "e": e} for s, e in merged])
-                kept.append(left)
-            arrays = [b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, span_type), pa.array(kept, pa.binary())]
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+            arrays = [b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, span_type), pa.array(kept, pa.string() if as_text else pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", *added])
 
     return joined.mapInArrow(run, T.StructType(fields)).select("row.*", *added)
