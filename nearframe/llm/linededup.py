@@ -79,12 +79,12 @@ def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", m
     prepare(spark)
     scratch = Scratch(spark, "lines")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    keyed = df.withColumns({"k1": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))), "k2": F.xxhash64(F.lit(10), text)})
-    gone = later_copies(keyed.select("k1", "k2", text.alias("text")), min_lines, min_chars, scratch)
+    k1, k2 = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(F.lit(10), text).alias("k2")
+    gone = later_copies(df.select(k1, k2, text.alias("text")), min_lines, min_chars, scratch)
     per_doc = scratch.write(gone.groupBy("k1", "k2").agg(F.collect_set("seq").alias("gone")), "gone")
     added = ["n_lines", "n_removed", "kept"]
     rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in added]
-    own = keyed.select(F.struct(*rest).alias("row"), "k1", "k2", text.alias("whole"))
+    own = df.select(F.struct(*rest).alias("row"), k1, k2, text.alias("whole"))
     joined = own.join(per_doc, ["k1", "k2"], "left").withColumn("lines", F.split("whole", "\n", -1))
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     lines, used = F.col("lines"), F.col("used")

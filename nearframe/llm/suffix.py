@@ -334,13 +334,13 @@ def remove_repeats(df: DataFrame, text_col: str = "text", min_len: int = 200, id
     prepare(spark, 256)
     scratch = Scratch(spark, "suffix")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    keyed = df.withColumns({"k1": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1)), "k2": F.xxhash64(F.lit(7), text)})
-    docs = keyed.select("k1", "k2", text.alias("text"))
+    k1, k2 = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")
+    docs = df.select(k1, k2, text.alias("text"))
     spans = repeated_spans(docs, min_len, scratch)
     per_doc = spans.distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
     added = ["n_bytes", "n_removed", "spans", "kept"]
     rest = [c for c in df.columns if c.lower() not in added]
-    own = keyed.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), "k1", "k2", text.alias("text"))
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), k1, k2, text.alias("text"))
     joined = own.join(per_doc, ["k1", "k2"], "left").select("row", "text", "spans")
     fields = [T.StructField("row", joined.schema["row"].dataType)] + T._parse_datatype_string(
         f"n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept {'string' if as_text else 'binary'}").fields
