@@ -44,6 +44,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify(docs, model, declared=F.col("lang"), host=F.col("source"))
     # rows that repeat an id go only if all of them are rejected
     rejected = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id")
+    rejected = Scratch(spark, "rejected").write(rejected)  # its size is then known: texts only move if it is large
     return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -55,6 +56,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     gone = minhash.near_duplicates(docs, words=SHINGLE_WORDS).where("not kept").select("doc_id")
+    gone = Scratch(spark, "copies").write(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
