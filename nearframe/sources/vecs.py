@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,54 +36,51 @@ def dump(rows: np.ndarray, kind: str) -> bytes:
     return np.concatenate([head, body], axis=1).tobytes()
 
 
-def read(spark: SparkSession, path: str, kind: str, limit: int | None = None, block_records: int = 1 << 16) -> DataFrame:
-    """(vec_id long, embedding array<float>, or array<int> for ivecs) of one file or a folder of part files in order of name.
+def read(spark: SparkSession, path: str, kind: str, limit: int | None = None) -> DataFrame:
+    """(vec_id long, embedding array<float>, or array<int> for ivecs) of a file; vec_id counts its records from 0.
 
-    Tasks read ranges of records by the Hadoop file system, so any store that Spark opens will do. limit: the first
-    so many records. An empty file gives no rows.
+    Records have one length, so tasks read splits of the file by the Hadoop file system, whatever its size and
+    wherever it is. The first record's length is read on the driver, and one number a split is counted. limit: the
+    first so many records. An empty file gives no rows.
     """
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    status = sorted(fs.listStatus(target), key=lambda s: s.getPath().getName())
-    files = [(s.getPath().toString(), s.getLen()) for s in status if s.isFile() and s.getLen() and not s.getPath().getName().startswith(("_", "."))]
     element = "int" if kind == "ivecs" else "float"
     schema = f"vec_id long, embedding array<{element}>"
-    if not files:
+    if not fs.getFileStatus(target).getLen():
         return spark.createDataFrame([], schema)
-    blobs = spark.read.format("binaryFile").load([f for f, _ in files] if len(files) > 1 else files[0][0])
-    first = {}
-    stream = fs.open(jvm.org.apache.hadoop.fs.Path(files[0][0]))
+    stream = fs.open(target)
     try:
         dim = int.from_bytes(bytes((stream.read() & 0xFF) for _ in range(4)), "little")
     finally:
         stream.close()
-    width, total = 4 + dim * KINDS[kind].itemsize, 0
-    for f, size in files:
-        first[f] = total
-        total += size // width
-    starts = spark.createDataFrame([(f, n) for f, n in first.items()], "path string, first long")
+    records = spark.sparkContext.binaryRecords(path, 4 + dim * KINDS[kind].itemsize)
+    starts = [0, *np.cumsum(records.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()).tolist()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    def number(k: int, it: Iterator[bytes]) -> Iterator[tuple[int, bytearray]]:
+        return ((starts[k] + i, bytearray(r)) for i, r in enumerate(it))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for blob, at in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                rows = parse(memoryview(blob.as_buffer()).tobytes(), kind)
-                for lo in range(0, len(rows), block_records):
-                    part = rows[lo : lo + block_records]
-                    values = pa.array(part.reshape(-1).astype(np.int32 if element == "int" else np.float32))
-                    offsets = pa.array(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32))
-                    ids = pa.array(np.arange(at + lo, at + lo + len(part), dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, values)], names=["vec_id", "embedding"])
-
-    out = blobs.join(F.broadcast(starts), "path").select("content", "first").mapInArrow(run, schema)  # one row a file
+            rows = parse(b"".join(b.column(1).to_pylist()), kind)
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(rows, element)], names=["vec_id", "embedding"])
+
+    out = records.mapPartitionsWithIndex(number).toDF("vec_id long, record binary").mapInArrow(run, schema)
     return out if limit is None else out.where(F.col("vec_id") < limit)
 
 
+def _lists(rows: np.ndarray, element: str) -> pa.Array:
+    values = pa.array(rows.reshape(-1).astype(np.int32 if element == "int" else np.float32))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), values)
+
+
 def write(df: DataFrame, path: str, kind: str) -> None:
-    """Writes (vec_id, embedding) as part files in order of vec_id: a folder that ``read`` takes.
+    """Writes (vec_id, embedding), ids without gaps, as blocks of records in order of vec_id; ``read_written`` reads them.
 
-    Parts are written through Spark as binary text of one record batch each, so no row passes the driver.
+    Blocks are binary values of a Parquet table, so tasks write them and no row passes the driver.
     """
+
     def run(batches):
         for b in batches:
             rows = np.array(b.column(1).to_pylist())
@@ -103,8 +99,6 @@ def read_written(spark: SparkSession, path: str, kind: str) -> DataFrame:
         for b in batches:
             for at, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = parse(blob, kind)
-                values = pa.array(rows.reshape(-1).astype(np.int32 if element == "int" else np.float32))
-                offsets = pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(rows))), pa.ListArray.from_arrays(offsets, values)], names=["vec_id", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(rows))), _lists(rows, element)], names=["vec_id", "embedding"])
 
     return spark.read.parquet(path).mapInArrow(run, f"vec_id long, embedding array<{element}>")
