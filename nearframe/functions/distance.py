@@ -62,11 +62,20 @@ def distance(metric: str, p: Column, q: Column) -> Column:
     return {"l2": l2, "ip": inner_product, "cos": cosine}[metric](p, q)
 
 
+def bound(value: Column, fn) -> Column:
+    """fn(value) with value computed once: what a lambda refers to is otherwise computed anew for each element."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def _scored(v: Column, centres: Column, metric: str) -> Column:
+    return F.transform(centres, lambda c: F.struct(distance(metric, v, c["v"]).alias("dist"), c["id"].alias("id")))
+
+
 def ranked(v: Column, centres: Column, metric: str = "l2") -> Column:
     """array<struct<dist,id>> of centres array<struct<id,v>>, nearest first, lower id on ties."""
-    return F.array_sort(F.transform(centres, lambda c: F.struct(distance(metric, v, c["v"]).alias("dist"), c["id"].alias("id"))))
+    return bound(v, lambda x: F.array_sort(_scored(x, centres, metric)))
 
 
 def argmin(v: Column, centres: Column, metric: str = "l2") -> Column:
     """struct<dist,id> of the nearest centre, without moving a row."""
-    return F.array_min(F.transform(centres, lambda c: F.struct(distance(metric, v, c["v"]).alias("dist"), c["id"].alias("id"))))
+    return bound(v, lambda x: F.array_min(_scored(x, centres, metric)))

@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearframe.functions.distance import argmin, distance, l2_squared, minus, ranked, vec
+from nearframe.functions.distance import argmin, bound, distance, l2_squared, minus, ranked, vec
 from nearframe.operators.exact import BROADCAST_BYTES, top_k
+from nearframe.sources.staging import stage
 
 MOST_CENTRES = 65_536
 
@@ -86,17 +87,20 @@ class IvfIndex:
 # -- two-layer residual quantisation -------------------------------------------------------------------
 def residuals(rows: DataFrame, coarse: DataFrame) -> DataFrame:
     """(id, c1, r): the nearest coarse centre of each vector and what is left of it."""
-    near = rows.withColumn("c", as_array(coarse)).withColumn("n", argmin(F.col("v"), F.col("c")))
-    centre = F.filter("c", lambda x: x["id"] == F.col("n.id"))[0]["v"]
-    return near.select("id", F.col("n.id").alias("c1"), minus(F.col("v"), centre).alias("r"))
+    def split(n: Column) -> Column:
+        centre = F.filter("c", lambda x: x["id"] == n["id"])[0]["v"]
+        return F.struct(n["id"].alias("c1"), minus(F.col("v"), centre).alias("r"))
+
+    near = rows.withColumn("c", as_array(coarse)).withColumn("n", bound(argmin(F.col("v"), F.col("c")), split))
+    return near.select("id", "n.c1", "n.r")
 
 
 def rvq_train(rows: DataFrame, n1: int, n2: int) -> tuple[DataFrame, DataFrame]:
     """Coarse centres (id, v), and fine centres (id, v) of residuals: both seeded by the lowest ids."""
     coarse = first_rows(rows, n1)
-    left = residuals(rows, coarse)
+    left = residuals(first_rows(rows, n2), coarse)
     fine = left.orderBy("id").limit(n2).select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("id"), F.col("r").alias("v"))
-    return coarse, fine
+    return coarse, stage(fine)
 
 
 def rvq_assign(rows: DataFrame, coarse: DataFrame, fine: DataFrame) -> DataFrame:
@@ -107,8 +111,9 @@ def rvq_assign(rows: DataFrame, coarse: DataFrame, fine: DataFrame) -> DataFrame
 
 def rvq_search(queries: DataFrame, rows: DataFrame, coarse: DataFrame, fine: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
     """Exact search among the vectors that share the query's (c1, c2) entry cluster."""
-    entry = rvq_assign(queries.select(F.col("q").alias("id"), "v"), coarse, fine).select(F.col("id").alias("q"), "c1", "c2").join(queries, "q").withColumnRenamed("v", "qv")
-    cells = rvq_assign(rows, coarse, fine).select("id", "c1", "c2").join(rows, "id")
+    # assigned once: as join keys the nested expressions would be computed again in every inferred filter
+    entry = stage(rvq_assign(queries.select(F.col("q").alias("id"), "v"), coarse, fine)).select(F.col("id").alias("q"), "c1", "c2").join(queries, "q").withColumnRenamed("v", "qv")
+    cells = stage(rvq_assign(rows, coarse, fine)).select("id", "c1", "c2").join(rows, "id")
     met = entry.join(cells, ["c1", "c2"])
     if exclude_self:
         met = met.where("q <> id")
@@ -155,7 +160,7 @@ def adc_table(queries: DataFrame, codebook: DataFrame, offsets: list[int], centr
     v = F.col("v") if centroid is None else minus(F.col("v"), centroid)
     with_book = queries.withColumn("x", v).withColumn("book", _book(codebook))
     def row(chunk: int, a: int, b: int) -> Column:
-        return F.transform(F.col("book")[F.lit(chunk)], lambda e: l2_squared(F.slice("x", a + 1, b - a), e["v"]))
+        return bound(F.slice("x", a + 1, b - a), lambda part: F.transform(F.col("book")[F.lit(chunk)], lambda e: l2_squared(part, e["v"])))
 
     rows = [row(c, a, b) for c, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True))]
     return with_book.select("q", F.array(*rows).alias("t"))

@@ -349,7 +349,7 @@ def hybrid(spark, sf, beam: int = 64) -> DataFrame:
     cells = stage(qz.rvq_assign(rows, coarse, fine))
     own = cells.groupBy("c1", "c2").agg(F.min("id").alias("fine_entry"))
     wide = cells.groupBy("c1").agg(F.min("id").alias("coarse_entry"))
-    q = qz.rvq_assign(asked(rows).select(F.col("q").alias("id"), "v"), coarse, fine)
+    q = stage(qz.rvq_assign(asked(rows).select(F.col("q").alias("id"), "v"), coarse, fine))
     prior = q.join(own, ["c1", "c2"], "left").join(wide, "c1", "left").select(F.col("id").alias("q"), F.coalesce("fine_entry", "coarse_entry").alias("entry"))
     return graph_search.beam_search(graph_search.entries(asked(rows), "prior", prior=prior), rows, final_graph(spark, sf), K, beam, WIDTH)
 
