@@ -27,13 +27,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         state = tuple(now)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        # written, so that the join can be split at a node of very many edges
+        least = scratch.write(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = _oriented(large)
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         small = star.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = scratch.write(_oriented(small.union(low.select("u", F.col("m").alias("v")))), "edges")
-        scratch.drop(e)
+        scratch.drop(e, least)
         e = nxt
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -9,10 +9,10 @@ one 64-bit band value.
 2. Representatives that share a band value share a bucket.  In each round every bucket names a centre, and
    members that are not yet in the centre's component are compared with it alone: rows are linear in members,
    and a group of near copies becomes one component without all its pairs being made.
-3. What is left are buckets that hold several components.  Their pairs across components are estimated from
-   the registers in blocks of bounded size, so no link between different texts is lost.
-4. Pairs pass if the jointly most likely similarity could still reach the threshold, and are then confirmed on
-   full shingle sets.  Components come from confirmed links only.
+3. What is left are buckets that hold several components.  Their members meet in blocks of bounded size, so no
+   link between different texts is lost: pairs across components pass if the jointly most likely similarity of
+   ``FINE`` registers could still reach the threshold.
+4. Every link is confirmed on full shingle sets, and components come from confirmed links only.
 """
 
 from __future__ import annotations
@@ -33,7 +33,11 @@ REGISTERS = 120
 BAND = 4
 B, A, Q = 1.001, 20.0, 65534
 ROUNDS = 3
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 256, 16 << 20
+#: Registers of the estimate within blocks.
+FINE = 1024
+#: Rows of unresolved buckets from which on another round of centres is cheaper than blocks; results are the same.
+FEW = 5000
 #: Standard errors below the threshold at which an estimate still goes to the exact check.
 MARGIN = 6.0
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -82,10 +86,11 @@ def jaccard(r1: np.ndarray, r2: np.ndarray, n1: np.ndarray, n2: np.ndarray, step
 
 def could_link(r1: np.ndarray, r2: np.ndarray, n1: np.ndarray, n2: np.ndarray, num: int, den: int) -> np.ndarray:
     t = num / den
-    sized = np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num
+    floor = t - MARGIN * (t * (1 - t) / r1.shape[1]) ** 0.5
+    # registers are equal at least as often as the sets are alike, so too few equal ones settle it
+    sized = (np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num) & ((r1 == r2).mean(axis=1) >= floor)
     ok = np.zeros(len(n1), bool)
     if sized.any():
-        floor = t - MARGIN * (t * (1 - t) / r1.shape[1]) ** 0.5
         ok[sized] = jaccard(r1[sized], r2[sized], n1[sized].astype(float), n2[sized].astype(float)) >= floor
     return ok
 
@@ -138,6 +143,14 @@ def _bands(reps: DataFrame, m: int) -> DataFrame:
     return reps.select("rep", "registers").mapInArrow(run, "rep long, band int, value long")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """den * intersection >= num * union, of two sorted sets that are not empty."""
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    both = int(np.count_nonzero(x[at] == y))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose full sets have den * intersection >= num * union."""
 
@@ -148,11 +161,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             for i, j, p, q in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if p is not last:
                     last, x = p, np.frombuffer(p, np.uint64)
-                y = np.frombuffer(q, np.uint64)
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                both = int(np.count_nonzero(x[at] == y)) if len(x) else 0
-                if den * both >= num * (len(x) + len(y) - both):
+                if _linked(x, np.frombuffer(q, np.uint64), num, den):
                     keep.append((i, j))
             yield _rows(["u", "v"], [pa.int64(), pa.int64()], keep)
 
@@ -161,32 +170,68 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "eb").mapInArrow(run, "u long, v long")
 
 
-def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of bucket members of different labels that could link; rows: band, value, rep, label, n, registers.
+def _across(rows: DataFrame, sets: DataFrame, info: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links (u, v) that join what the rounds have left apart; rows: rep, label, centre of unresolved buckets.
 
-    A bucket is cut into blocks of about BLOCK members, and every two blocks meet in a group of their own.
+    Buckets that overlap form a cluster. A cluster is cut into blocks of about BLOCK members (fewer if their sets
+    are large), and every two blocks meet in a group of their own, with finer registers and full sets. A group
+    passes over pairs that its own links have already joined, so it returns fewer links than it has members.
     """
-    size = rows.groupBy("band", "value").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = rows.join(size, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-        "block", "rep", "label", "n_shingles", "registers",
-    )
+    spans = components(rows.select(F.col("rep").alias("u"), F.col("centre").alias("v")), scratch)
+    spans = scratch.write(spans.select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "clusters")
+    members = scratch.write(rows.select("rep", "label").distinct().join(spans, "rep").join(info.select("rep", "n_shingles"), "rep"), "members")
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") * 8 / F.lit(BLOCK_BYTES)))
+    size = scratch.write(members.groupBy("cluster").agg(parts.cast("int").alias("blocks")), "sizes")
+    placed = members.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    fine = _fine(sets.join(members.select("rep"), "rep", "left_semi"))
+    met = placed.join(fine, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "label", "n_shingles", "registers", "elements"
+    )
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep", kind="stable")
         regs = np.frombuffer(b"".join(pdf["registers"]), "<u2").reshape(len(pdf), -1)
-        rep, label, n, block = (pdf[c].to_numpy() for c in ("rep", "label", "n_shingles", "block"))
+        rep, n, block = (pdf[c].to_numpy() for c in ("rep", "n_shingles", "block"))
+        sets_ = [np.frombuffer(e, np.uint64) for e in pdf["elements"]]
+        label = np.unique(pdf["label"].to_numpy(), return_inverse=True)[1]
         out = []
         for i in range(len(pdf)):
-            later = (label != label[i]) & (rep > rep[i]) & ((key[2] == key[3]) | (block != block[i]))
-            at = np.flatnonzero(later)
-            if len(at):
-                ok = could_link(np.broadcast_to(regs[i], (len(at), regs.shape[1])), regs[at], np.full(len(at), n[i]), n[at], num, den)
-                out.append(np.stack([np.full(ok.sum(), rep[i]), rep[at[ok]]], axis=1))
-        pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}).drop_duplicates()
+            later = np.arange(len(pdf)) > i
+            if key[1] != key[2]:
+                later &= block != block[i]
+            at = np.flatnonzero(later & (label != label[i]) & (np.minimum(n, n[i]) * den >= np.maximum(n, n[i]) * num))
+            if not len(at):
+                continue
+            at = at[could_link(np.broadcast_to(regs[i], (len(at), regs.shape[1])), regs[at], np.full(len(at), n[i]), n[at], num, den)]
+            for j in at.tolist():
+                if label[i] != label[j] and _linked(sets_[i], sets_[j], num, den):
+                    out.append((rep[i], rep[j]))
+                    label[label == label[j]] = label[i]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return met.groupBy("cluster", "lo", "hi").applyInPandas(run, "u long, v long")
 
-    return met.groupBy("band", "value", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+
+def _fine(sets: DataFrame) -> DataFrame:
+    """rep, elements and FINE registers of each set."""
+
+    def run(batches):
+        for b in batches:
+            regs = [sketch(np.frombuffer(e, np.uint64), FINE).astype("<u2").tobytes() for e in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(regs, pa.binary())], names=["rep", "elements", "registers"])
+
+    return sets.select("rep", "elements").mapInArrow(run, "rep long, elements binary, registers binary")
+
+
+def _relabel(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, root) after further links (u, v): only old components are joined, by their roots."""
+    if labels is None:
+        return components(links, scratch).withColumnRenamed("node", "rep")
+    of = {c: labels.select(F.col("rep").alias(c), F.col("root").alias(f"r{c}")) for c in "uv"}
+    between = links.join(of["u"], "u", "left").join(of["v"], "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    merged = scratch.write(components(between, scratch).withColumnRenamed("root", "new"), "merged")
+    old = labels.join(merged, F.col("root") == F.col("node"), "left").select("rep", F.coalesce("new", "root").alias("root"))
+    return old.union(merged.join(labels.select(F.col("rep").alias("node")), "node", "left_anti").select(F.col("node").alias("rep"), F.col("new").alias("root")))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, registers: int = REGISTERS) -> DataFrame:
@@ -208,38 +253,41 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "classes",
     )
     bands = _bands(classes, registers)
-    shared = bands.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # counted apart, so that the join below is on plain rows and a large bucket can be split
+    shared = scratch.write(bands.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
     live = scratch.write(bands.join(shared, ["band", "value"]), "buckets")
     named = scratch.write(live.select("rep").distinct(), "live")
-    info = classes.join(named, "rep", "left_semi").select("rep", "n_shingles", "registers")
+    info = classes.join(named, "rep", "left_semi").select("rep", "n_shingles")
     texts = docs.join(named.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     sets = scratch.write(_sets(texts, words), "sets")
-    labels = None
-    links: DataFrame | None = None
+    labels: DataFrame | None = None
     tried: DataFrame | None = None
-    active = live
-    for round_ in range(ROUNDS + 1):
+    active, round_, last = live, 0, ROUNDS == 0
+    while True:
         tagged = active.withColumn("label", F.col("rep")) if labels is None else active.join(labels, "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
         order = F.struct(F.xxhash64("rep", F.lit(round_)) if round_ else F.lit(0).cast("long"), F.col("rep"), F.col("label"))
-        centre = tagged.groupBy("band", "value").agg(F.min(order).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        here = tagged.join(centre.select("band", "value", F.col("c.rep").alias("centre"), F.col("c.label").alias("centre_label")), ["band", "value"])
-        if round_ < ROUNDS:
-            pairs = here.where("label <> centre_label").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        else:
-            pairs = _across(here.select("band", "value", "rep", "label").join(info, "rep"), num, den)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        centres = tagged.groupBy("band", "value").agg(F.min(order).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        centres = scratch.write(centres.select("band", "value", F.col("c.rep").alias("centre"), F.col("c.label").alias("centre_label")), "centres")
+        here = tagged.join(centres, ["band", "value"])
         if round_:
             active = scratch.write(here.select("band", "value", "rep"), "active")
-        new = scratch.write(pairs, "pairs")
-        if new.isEmpty():
-            if round_ == ROUNDS or active.isEmpty():
+            size = active.count()
+            if not size:
                 break
-            continue
-        found = scratch.write(_confirm(new, sets, num, den), "links")
-        tried = new if tried is None else tried.union(new)
-        links = found if links is None else links.union(found)
-        labels = scratch.write(components(links, scratch).withColumnRenamed("node", "rep"), "labels")
+            last = round_ >= ROUNDS or size <= FEW
+        if last:
+            found = scratch.write(_across(here.select("rep", "label", "centre"), sets, info, num, den, scratch), "links")
+        else:
+            pairs = here.where("label <> centre_label").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            new = scratch.write(pairs, "pairs")
+            tried = new if tried is None else tried.union(new)
+            found = scratch.write(_confirm(new, sets, num, den), "links")
+        labels = scratch.write(_relabel(labels, found, scratch), "labels")
+        if last:
+            break
+        round_ += 1
     out = sk.join(classes.select("set_key", "rep"), "set_key", "left")
     if labels is not None:
         out = out.join(labels, "rep", "left")
