@@ -81,6 +81,11 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with value computed once: what a lambda refers to is otherwise computed anew for each element."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drops columns that an operator is about to add (names compare as Spark resolves them)."""
     new = {n.lower() for n in names}

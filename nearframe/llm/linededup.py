@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearframe.llm.common import Scratch, prepare
+from nearframe.llm.common import Scratch, bound, prepare
 
 PLACE = ["k1", "k2", "seq"]
 
@@ -36,7 +36,8 @@ def _refine(ranked: DataFrame, step: int, scratch: Scratch) -> DataFrame:
     before = Window.partitionBy("name.rank").orderBy("name.ahead").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("n").over(before), F.lit(0)) + F.col("name.rank.place")
     new = F.struct(F.col("name.rank.id").alias("id"), F.col("name.rank.check").alias("check"), offset.alias("place"))
-    out = scratch.write(pairs.join(intervals.select("name", new.alias("rank"), "first"), "name").drop("name"), "ranks")
+    intervals = scratch.write(intervals.select("name", new.alias("rank"), "first"), "intervals")
+    out = scratch.write(pairs.join(intervals, "name").drop("name"), "ranks")
     scratch.drop(pairs)
     return out
 
@@ -51,7 +52,8 @@ def later_copies(docs: DataFrame, min_lines: int, min_chars: int, scratch: Scrat
         ),
         "lines",
     )
-    once = _repeated(named).select("name", "first")
+    # counted apart: a join with an aggregate's output can't be split where one line is very common
+    once = scratch.write(_repeated(named).select("name", "first"), "intervals")
     rank = F.struct(F.col("name.id").alias("id"), F.col("name.check").alias("check"), F.lit(0).cast("long").alias("place"))
     ranked = scratch.write(named.join(once, "name").select(*PLACE, "chars", rank.alias("rank"), "first"), "ranks")
     scratch.drop(named)
@@ -85,15 +87,21 @@ def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", m
     added = ["n_lines", "n_removed", "kept"]
     rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in added]
     own = df.select(F.struct(*rest).alias("row"), k1, k2, text.alias("whole"))
-    joined = own.join(per_doc, ["k1", "k2"], "left").withColumn("lines", F.split("whole", "\n", -1))
-    every = F.sequence(F.lit(0), F.size("lines") - 1)
-    lines, used = F.col("lines"), F.col("used")
-    out = joined.withColumn("used", F.filter(every, lambda i: ~_blank(F.get(lines, i))))
-    out = out.withColumn("drop", F.transform("gone", lambda s: F.get(used, s.cast("int"))))
-    kept = F.array_join(F.transform(F.array_except(every, F.col("drop")), lambda i: F.get(lines, i)), "\n")
-    return out.select(
-        "row.*",
-        F.size("used").cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("whole")).otherwise(kept).alias("kept"),
-    )
+    joined = own.join(per_doc, ["k1", "k2"], "left")
+
+    def result(lines: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+
+        def cut(used: Column) -> Column:
+            drop = F.transform("gone", lambda s: F.get(used, s.cast("int")))
+            kept = F.array_join(F.transform(F.array_except(every, drop), lambda i: F.get(lines, i)), "\n")
+            return F.struct(
+                F.size(used).cast("long").alias("n_lines"),
+                F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+                F.when(F.col("gone").isNull(), F.col("whole")).otherwise(kept).alias("kept"),
+            )
+
+        return bound(F.filter(every, lambda i: ~_blank(F.get(lines, i))), cut)
+
+    # a generator of one row, so that a caller's filter on the result does not compute it once more
+    return joined.select("row", F.inline(F.array(bound(F.split("whole", "\n", -1), result)))).select("row.*", *added)
