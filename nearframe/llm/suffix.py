@@ -307,7 +307,8 @@ def _counted_spans(contexts: DataFrame, min_len: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, min_len: int, scratch: Scratch) -> DataFrame:
     """(k1, k2, s, e): byte spans of windows of min_len bytes that start anywhere else too; docs: k1, k2, text."""
     found = scratch.write(_anchors(docs, min_len), "anchors")
-    again = found.groupBy("kmer").agg(F.count("*").alias("c")).where("c > 1").select("kmer")
+    # counted apart: a join with an aggregate's output can't be split where one string is very common
+    again = scratch.write(found.groupBy("kmer").agg(F.count("*").alias("c")).where("c > 1").select("kmer"), "kmers")
     some = scratch.write(found.join(again, "kmer", "left_semi"), "repeated")
     scratch.drop(found)
     key = ["kmer", "ctx", "before", "behind"]
@@ -316,6 +317,7 @@ def repeated_spans(docs: DataFrame, min_len: int, scratch: Scratch) -> DataFrame
         "k1", "k2", (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + F.col("behind")).alias("e")
     )
     several = groups.groupBy("kmer").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 and least = 1").select("kmer", "d")
+    several = scratch.write(several, "several")
     reps = groups.join(several, "kmer").select("rep.k1", "rep.k2", "rep.pos", "kmer", "n", "d", "before", "behind")
     contexts = scratch.write(_contexts(reps, docs), "bytes")
     part = _sorted_spans(contexts.where(F.col("d") <= GROUP), min_len).union(_counted_spans(contexts.where(F.col("d") > GROUP), min_len))
