@@ -9,7 +9,9 @@ class "und" with uniform trigrams stands for text in no known language; such row
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +58,18 @@ def fit(df: DataFrame, label_col: str = "lang", text_col: str = "text", id_col:
     Rows without label or text don't count; more than MAX_LABELS languages is an error. No labelled row: no label.
     """
     prepare(df.sparkSession, 256)
-    rows = df.select(F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.lit(2), F.col(f"`{id_col}`")).alias("h")).where("label is not null and text is not null")
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
-    sample = rows.withColumn("nth", nth).where(F.col("nth") <= per_label).select("label", "text")
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = df.select(F.col(f"`{label_col}`").cast("string").alias("label"), text.alias("text"), F.xxhash64(F.lit(2), F.col(f"`{id_col}`"), text).alias("h")).where("label is not null and text is not null")
+
+    def lowest(x: DataFrame) -> DataFrame:
+        return x.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("nth") <= per_label)
+
+    # the bound of each language's hashes first, without texts: a task then never gathers texts of all others
+    cuts = lowest(rows.select("label", "h")).groupBy("label").agg(F.max("h").alias("cut")).limit(MAX_LABELS + 1).collect()
+    if len(cuts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} languages")
+    low = reduce(operator.or_, [(F.col("label") == c["label"]) & (F.col("h") <= c["cut"]) for c in cuts], F.lit(False))
+    sample = lowest(rows.where(low)).select("label", "text")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -70,8 +81,6 @@ def fit(df: DataFrame, label_col: str = "lang", text_col: str = "text", id_col:
             yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([c.astype("<i8").tobytes()], pa.binary())], names=["label", "counts"])
 
     counts = {r["label"]: np.frombuffer(bytes(r["counts"]), "<i8") for r in sample.mapInArrow(count, "label string, counts binary").collect()}
-    if len(counts) > MAX_LABELS:
-        raise ValueError(f"{len(counts)} languages; at most {MAX_LABELS} are modelled")
     labels = tuple(sorted(counts))
     logp = np.array([np.log((counts[k] + 0.1) / (counts[k].sum() + 0.1 * BUCKETS)) for k in labels], np.float32).reshape(len(labels), BUCKETS)
     return Model(labels, logp)
