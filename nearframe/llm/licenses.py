@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearframe.llm.common import bound
+
 THRESHOLD = 0.8
 # Texts of licence notices.
 TEMPLATES: dict[str, list[str]] = {
@@ -48,9 +50,12 @@ def bigrams(text: str) -> list[str]:
 
 def _bigrams(text: Column) -> Column:
     words = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    n = F.size(words)
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+
+    def pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.array_distinct(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+
+    return bound(words, pairs)
 
 
 def units(text: Column) -> Column:
@@ -80,7 +85,7 @@ def scan(df: DataFrame, text_col: str = "text", templates: dict[str, list[str]]
             dice = F.lit(2.0) * F.size(F.array_intersect(b, F.array(*[F.lit(x) for x in t]))) / (F.size(b) + len(t))
             tries.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(name).alias("name"))))
         best = tries[0] if len(tries) == 1 else F.greatest(*tries)
-        return F.when(best["dice"] >= threshold, best)
+        return bound(best, lambda m: F.when(m["dice"] >= threshold, m))
 
     if not made:
         return df.select(*kept, F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("n_matches"))
