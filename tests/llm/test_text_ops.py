@@ -223,3 +223,24 @@ def test_licences(spark):
     assert got == {0: ("MIT", 1), 1: ("GPL-3.0", 1), 2: ("Apache-2.0", 1), 3: (None, 0), 4: (None, 0), 5: (None, 0), 6: (None, 0), 7: ("ISC", 3)}
     assert licenses.scan(df.where("doc_id < 0")).count() == 0
     assert licenses.scan(df, templates={"short": ["one"]}).agg({"n_matches": "sum"}).first()[0] == 0
+
+
+def test_whole_and_embedded_licences(spark):
+    texts = licenses.all_templates()
+    bsd, mit = texts["BSD-3-Clause"][-1], texts["MIT"][-1]
+    words = " ".join(f"w{i}" for i in range(400))
+    cases = {"BSD-3-Clause": "Copyright (c) 2020 A. All rights reserved.\n\nAll rights reserved.\n" + bsd, "MIT": words + "\n" + "\n".join("# " + x for x in mit.split("\n")) + "\n" + words,
+             "GPL-2.0": texts["GPL-2.0"][-1] + words, "Apache-2.0": words + " " + texts["Apache-2.0"][-1], "LGPL-2.1": texts["LGPL-2.1"][0], "BSD-2-Clause": texts["BSD-2-Clause"][-1]}
+    df = spark.createDataFrame([*enumerate(cases.values()), (90, f"{words} Released under the MIT License. {words}"), (91, words), (92, texts["GPL-2.0"][0])], DOCS)
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df).collect()}
+    assert got == dict(enumerate(cases)) | {90: "MIT", 91: None, 92: "GPL-2.0"}
+
+
+def test_windows_equal_all_windows():
+    rng = np.random.default_rng(5)
+    template = " ".join(f"t{i}" for i in rng.integers(0, 9, 12))
+    for _ in range(60):
+        text = " ".join(f"t{i}" for i in rng.integers(0, 12, 9)) + " " + " ".join(w for w in template.split() if rng.random() < 0.95) + " " + " ".join(f"t{i}" for i in rng.integers(0, 12, 9))
+        w, g = text.split(), set(licenses.bigrams(template))
+        dice = [2 * len(b & g) / (len(b) + len(g)) for lo in range(len(w) - 11) for b in [set(licenses.bigrams(" ".join(w[lo : lo + 12])))]]
+        assert (licenses.match(text, licenses.index({"x": [template]}))[0] is not None) == (max(dice) >= licenses.THRESHOLD)
