@@ -389,9 +389,9 @@ def sparse(spark, sf) -> DataFrame:
     return stage(graph_build.knn_graph(base(spark, sf), 4).withColumn("w", F.round(F.col("dist") * 1000).cast("long")))
 
 
-def trade(spark, sf) -> DataFrame:
+def trade(spark, sf, where: str | None = "o_custkey % 7 = 0") -> DataFrame:
     o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    met = o.where("o_custkey % 7 = 0").join(l, F.col("l_orderkey") == F.col("o_orderkey"))
+    met = (o.where(where) if where else o).join(l, F.col("l_orderkey") == F.col("o_orderkey"))
     return met.select((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).distinct()
 
 
@@ -410,6 +410,12 @@ def _(spark, sf):
     return graph_analytics.components(trade(spark, sf))
 
 
+@query("graph_cc_trade_all")
+def _(spark, sf):
+    """Components over all orders; graph_cc_trade takes those of customers divisible by 7, as its recursive SQL does."""
+    return graph_analytics.components(trade(spark, sf, None))
+
+
 RANK_ROUNDS = 5
 PAGERANK = f"WITH {E}, {KNN}, sg AS (SELECT src, dst FROM knn WHERE rank < 4), nodes AS (SELECT src AS node FROM sg UNION SELECT dst FROM sg), deg AS (SELECT src, count(*) AS d FROM sg GROUP BY src), n AS (SELECT count(*)::DOUBLE AS n FROM nodes), r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM nodes, n)" + "".join(
     f", r{i} AS MATERIALIZED (SELECT nodes.node, 0.15 / n + 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i - 1} LEFT JOIN deg ON deg.src = node WHERE d IS NULL) / n) AS rank FROM nodes CROSS JOIN n LEFT JOIN (SELECT sg.dst, sum(r.rank / deg.d) AS got FROM sg JOIN r{i - 1} r ON r.node = sg.src JOIN deg ON deg.src = sg.src GROUP BY sg.dst) g ON g.dst = nodes.node)"

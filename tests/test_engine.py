@@ -183,3 +183,21 @@ def test_plans(spark, sf):
     assert "LessThan(vec_id,10)" in plan and "ReadSchema: struct<vec_id:bigint>" in plan
     base = qz.vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
     assert "WindowGroupLimit" in exact.knn(asked(base.where("id < 3")), base, 3)._jdf.queryExecution().toString()
+
+
+def test_trade_components_cover_all_orders(spark, sf):
+    from nearframe.plans.registry import QUERIES
+
+    o, l = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas() for t in ("orders", "lineitem"))
+    met = o.merge(l, left_on="o_orderkey", right_on="l_orderkey")
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in zip(met["o_custkey"] * 2, met["l_suppkey"] * 2 + 1, strict=True):
+        a, b = sorted((root(int(a)), root(int(b))))
+        up[b] = a
+    assert dict(map(tuple, QUERIES["graph_cc_trade_all"](spark, sf).collect())) == {x: root(x) for x in up}
