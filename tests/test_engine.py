@@ -201,3 +201,19 @@ def test_trade_components_cover_all_orders(spark, sf):
         a, b = sorted((root(int(a)), root(int(b))))
         up[b] = a
     assert dict(map(tuple, QUERIES["graph_cc_trade_all"](spark, sf).collect())) == {x: root(x) for x in up}
+
+
+@pytest.mark.parametrize("name", ["ivf_search_nprobe", "ivf_index_api", "rvq_search", "pq_adc_topk", "pq_rerank"])
+def test_readme_gives_recall_as_measured(spark, name):
+    import os
+    import re
+
+    from nearframe.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    with open(os.path.join(os.path.dirname(__file__), "..", "README.md"), encoding="utf-8") as f:
+        given = float(re.search(rf"^\| {name}\b.*\| ([0-9.]+) \|$", f.read(), re.M)[1])
+    base = registry.base(spark, sf)
+    found = registry.adc(spark, sf, 10) if name == "pq_adc_topk" else registry.QUERIES[name](spark, sf)
+    truth = exact.knn(registry.asked(base), base, 10, exclude_self=name != "ivf_index_api")
+    assert exact.recall(found, truth, 10).agg(F.avg("recall")).first()[0] == pytest.approx(given, abs=0.005)
