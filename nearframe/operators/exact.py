@@ -141,7 +141,7 @@ class FlatIndex:
         self.data = rows if self.data is None else self.data.unionByName(rows)
         return self
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
         if self.data is None:
             raise ValueError("nothing was added")
-        return knn(queries, self.data, k, self.metric)
+        return knn(queries, self.data, k, self.metric, exclude_self)

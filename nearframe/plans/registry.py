@@ -101,6 +101,14 @@ def _(spark, sf):
     return shown(index.search(asked(base(spark, sf)), K))
 
 
+@query("flat_index_search_all", f"WITH {E} {sql_knn('l2')}")
+def _(spark, sf):
+    """Against all rows; flat_index_search leaves the query set out of its base, as its SQL does."""
+    rows = base(spark, sf)
+    index = exact.FlatIndex("l2").add(rows.where("id % 2 = 0")).add(rows.where("id % 2 <> 0"))
+    return shown(index.search(asked(rows), K, exclude_self=True))
+
+
 query("vector_norms", f"WITH {E} SELECT id, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM e")(lambda spark, sf: base(spark, sf).select("id", F.round(norm(F.col("v")), 6).alias("norm")))
 query("vector_norms_sq", f"WITH {E} SELECT id, round(list_inner_product(v, v), 6) AS norm_sq FROM e")(lambda spark, sf: base(spark, sf).select("id", F.round(norm_squared(F.col("v")), 6).alias("norm_sq")))
 
@@ -472,6 +480,13 @@ def _(spark, sf):
     return arrays.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0").withColumn("event_type", F.upper("event_type")), ["user_id"], ["event_id"])
 
 
+@query("upsert_latest_wins_all", "WITH c AS (SELECT user_id, event_id, event_type, 0 AS fresh FROM events UNION ALL SELECT user_id, event_id, upper(event_type), 1 FROM events WHERE event_id % 3 = 0) SELECT user_id, event_id, event_type FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, fresh DESC) = 1")
+def _(spark, sf):
+    """All events are the base; upsert_latest_wins takes those of even ids, as its SQL does."""
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    return arrays.upsert(e, e.where("event_id % 3 = 0").withColumn("event_type", F.upper("event_type")), ["user_id"], ["event_id"])
+
+
 ZIPF = "WITH m AS (SELECT k + 1 AS key, power(k + 1, -0.5) AS m FROM range(0, 100) t(k)), c AS (SELECT key, (sum(m) OVER (ORDER BY key)) / (SELECT sum(m) FROM m) AS c FROM m), d AS (SELECT i, ((i * 7919 + 13) % 10000) / 10000.0::DOUBLE AS u FROM range(0, 10000) t(i))"
 query("zipf_access_hist", f"{ZIPF}, x AS (SELECT i, least((SELECT count(*) FROM c WHERE c.c <= d.u) + 1, 100) AS key FROM d) SELECT key, count(*) AS n FROM x GROUP BY key")(lambda spark, sf: arrays.zipf_keys(spark, 10_000, 100, 0.5).groupBy("key").agg(F.count("*").alias("n")))
 

@@ -217,3 +217,13 @@ def test_readme_gives_recall_as_measured(spark, name):
     found = registry.adc(spark, sf, 10) if name == "pq_adc_topk" else registry.QUERIES[name](spark, sf)
     truth = exact.knn(registry.asked(base), base, 10, exclude_self=name != "ivf_index_api")
     assert exact.recall(found, truth, 10).agg(F.avg("recall")).first()[0] == pytest.approx(given, abs=0.005)
+
+
+def test_searches_and_upserts_take_all_rows(spark, sf):
+    from nearframe.plans.registry import QUERIES
+
+    e = spark.read.parquet(f"{sf}/events.parquet").toPandas().sort_values("event_id").groupby("user_id").tail(1)
+    want = {u: (i, t.upper() if i % 3 == 0 else t) for u, i, t in zip(e["user_id"], e["event_id"], e["event_type"], strict=True)}
+    assert {r["user_id"]: (r["event_id"], r["event_type"]) for r in QUERIES["upsert_latest_wins_all"](spark, sf).collect()} == want
+    near = rows(spark, [[0], [1], [5]])
+    assert [tuple(r)[:2] for r in exact.FlatIndex().add(near).search(asked(near), 1, exclude_self=True).orderBy("q").collect()] == [(0, 1), (1, 0), (2, 1)]
