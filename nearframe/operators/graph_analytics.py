@@ -6,24 +6,39 @@ costs one round.  Rows of a round are linear in edges; joins are on vertex ids,
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearframe.sources.staging import stage
 
+#: Rounds after which a loop folds its parts into one table (BFS), or asks whether a negative cycle keeps it going.
+FOLD, CYCLE_CHECK = 64, 1 << 10
+
+
+def _limit(level: int, max_rounds: int | None) -> None:
+    if max_rounds is not None and level > max_rounds:
+        raise RuntimeError(f"not finished after {max_rounds} rounds")
+
 
-def bfs(edges: DataFrame, source: int, max_rounds: int = 1 << 10) -> DataFrame:
-    """(node, level) of what `source` reaches, itself at level 0 (if it is in an edge at all)."""
+def bfs(edges: DataFrame, source: int, max_rounds: int | None = None) -> DataFrame:
+    """(node, level) of what `source` reaches, itself at level 0 (if it is in an edge at all).
+
+    Runs until nothing new is reached; RuntimeError if that takes more levels than max_rounds.
+    """
     e = edges.select("src", "dst")
     both = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node")))
     seen = stage(both.where(F.col("node") == source).limit(1).select("node", F.lit(0).alias("level")))
     frontier = seen
-    for level in range(1, max_rounds + 1):
+    for level in count(1):
         reached = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = stage(reached.join(seen, "node", "left_anti").select("node", F.lit(level).alias("level")))
         if frontier.isEmpty():
             break
+        _limit(level, max_rounds)
         seen = seen.union(frontier)
+        seen = stage(seen) if level % FOLD == 0 else seen
     return seen
 
 
@@ -69,18 +84,25 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     return ranks.select("node", "rank")
 
 
-def sssp(edges: DataFrame, source: int, weight: Column | None = None, max_rounds: int = 1 << 10) -> DataFrame:
-    """(node, dist): least sums of weights from `source`, in rounds; nodes out of reach are absent. No negative cycles."""
+def sssp(edges: DataFrame, source: int, weight: Column | None = None, max_rounds: int | None = None) -> DataFrame:
+    """(node, dist): least sums of weights from `source`, in rounds; nodes out of reach are absent.
+
+    Runs until nothing improves; RuntimeError if that takes more rounds than max_rounds, ValueError on a negative cycle.
+    """
     w = F.col("weight") if weight is None else weight
     e = edges.select("src", "dst", w.alias("weight"))
     kind = e.schema["weight"].dataType
     best = stage(e.select(F.lit(source).cast("long").alias("node"), F.lit(0).cast(kind).alias("dist")).limit(1))
     changed = best
-    for _ in range(max_rounds):
+    for level in count(1):
         offers = changed.join(e, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.col("dist") + F.col("weight")).alias("offer"))
         better = stage(offers.join(best, F.col("dst") == F.col("node"), "left").where("dist is null or offer < dist").select(F.col("dst").alias("node"), F.col("offer").alias("dist")))
         if better.isEmpty():
             break
+        _limit(level, max_rounds)
+        # without a negative cycle, a path has no more edges than there are vertices reached
+        if level % CYCLE_CHECK == 0 and level > best.count() + better.count():
+            raise ValueError("a negative cycle")
         best = stage(best.union(better).groupBy("node").agg(F.min("dist").alias("dist")))
         changed = better
     return best

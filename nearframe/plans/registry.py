@@ -405,7 +405,7 @@ def trade(spark, sf, where: str | None = "o_custkey % 7 = 0") -> DataFrame:
 
 @query("graph_bfs", f"WITH RECURSIVE {SPARSE}, b AS (SELECT 0::BIGINT AS node, 0 AS level UNION SELECT sg.dst, b.level + 1 FROM b JOIN sg ON sg.src = b.node WHERE b.level < 40) SELECT node, CAST(min(level) AS INTEGER) AS level FROM b GROUP BY node")
 def _(spark, sf):
-    return graph_analytics.bfs(sparse(spark, sf), 0, 40)
+    return graph_analytics.bfs(sparse(spark, sf), 0)
 
 
 @query("graph_cc", f"WITH RECURSIVE {E}, {KNN}, un AS (SELECT src AS a, dst AS b FROM knn WHERE rank < 1 UNION SELECT dst, src FROM knn WHERE rank < 1), r AS (SELECT DISTINCT a AS node, a AS far FROM un UNION SELECT r.node, un.b FROM r JOIN un ON un.a = r.far) SELECT node, min(far) AS component FROM r GROUP BY node")
@@ -441,8 +441,8 @@ def _sssp_sql(w: str, zero: str) -> str:
     return f"WITH {SPARSE}, d0 AS (SELECT 0::BIGINT AS node, {zero} AS dist){rounds}"
 
 
-query("graph_sssp", f"{_sssp_sql('w', '0::BIGINT')} SELECT node, dist FROM d30")(lambda spark, sf: graph_analytics.sssp(sparse(spark, sf), 0, F.col("w"), 30))
-query("graph_sssp_float", f"{_sssp_sql('dist', '0::DOUBLE')} SELECT node, round(dist, 6) AS dist FROM d30")(lambda spark, sf: graph_analytics.sssp(sparse(spark, sf), 0, F.col("dist"), 30).select("node", F.round("dist", 6).alias("dist")))
+query("graph_sssp", f"{_sssp_sql('w', '0::BIGINT')} SELECT node, dist FROM d30")(lambda spark, sf: graph_analytics.sssp(sparse(spark, sf), 0, F.col("w")))
+query("graph_sssp_float", f"{_sssp_sql('dist', '0::DOUBLE')} SELECT node, round(dist, 6) AS dist FROM d30")(lambda spark, sf: graph_analytics.sssp(sparse(spark, sf), 0, F.col("dist")).select("node", F.round("dist", 6).alias("dist")))
 
 
 # -- arrays ----------------------------------------------------------------------------------------------------

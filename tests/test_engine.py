@@ -227,3 +227,21 @@ def test_searches_and_upserts_take_all_rows(spark, sf):
     assert {r["user_id"]: (r["event_id"], r["event_type"]) for r in QUERIES["upsert_latest_wins_all"](spark, sf).collect()} == want
     near = rows(spark, [[0], [1], [5]])
     assert [tuple(r)[:2] for r in exact.FlatIndex().add(near).search(asked(near), 1, exclude_self=True).orderBy("q").collect()] == [(0, 1), (1, 0), (2, 1)]
+
+
+def test_long_chains_are_followed_to_their_end(spark, sf, monkeypatch):
+    from nearframe.plans import registry
+
+    n = 45
+    chain = spark.createDataFrame([(i, i + 1, 1.0, 1) for i in range(n)] + [(0, n, 100.0, 100)], "src long, dst long, dist double, w long").coalesce(1).cache()
+    monkeypatch.setattr(registry, "sparse", lambda *_: chain)
+    assert dict(map(tuple, registry.QUERIES["graph_sssp"](spark, sf).collect())) == {i: i for i in range(n + 1)}
+    monkeypatch.setattr(registry, "sparse", lambda *_: chain.where("w = 1"))
+    monkeypatch.setattr(graph_analytics, "FOLD", 16, raising=False)
+    assert dict(map(tuple, registry.QUERIES["graph_bfs"](spark, sf).collect())) == {i: i for i in range(n + 1)}
+    for f in (lambda: graph_analytics.bfs(chain.where("w = 1"), 0, 3), lambda: graph_analytics.sssp(chain, 0, F.col("w"), 3)):
+        with pytest.raises(RuntimeError):
+            f()
+    monkeypatch.setattr(graph_analytics, "CYCLE_CHECK", 8, raising=False)
+    with pytest.raises(ValueError):
+        graph_analytics.sssp(spark.createDataFrame([(1, 2, -1.0), (2, 1, 0.0)], "src long, dst long, weight double"), 1)
