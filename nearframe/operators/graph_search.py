@@ -1,6 +1,6 @@
 """Beam search on a fixed-degree graph.
 
-State of a query: every vertex it has seen, with distance and whether it was expanded.  A hop expands the
+State of a query: every vertex it has seen, with distance and the hop at which it was expanded, if it was.  A hop expands the
 ``width`` nearest unexpanded of the ``beam`` nearest seen, and adds their unseen neighbours. ``hops`` runs that as
 DataFrame joins (any graph size, rows bounded by queries x seen); ``in_memory`` runs it in numpy for graphs of
 checked size that fit every task, and gives the same result.
@@ -8,6 +8,8 @@ checked size that fit every task, and gives the same result.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,33 +33,36 @@ def entries(queries: DataFrame, strategy: str, fixed: int = 0, n: int | None = N
     raise ValueError("strategy must be fixed, random or prior")
 
 
-def _expand(state: DataFrame, queries: DataFrame, base: DataFrame, graph: DataFrame, beam: int, width: int, metric: str) -> tuple[DataFrame, DataFrame]:
+def _expand(state: DataFrame, queries: DataFrame, base: DataFrame, graph: DataFrame, beam: int, width: int, metric: str, hop: int) -> tuple[DataFrame, DataFrame]:
     near = Window.partitionBy("q").orderBy("dist", "id")
     listed = state.withColumn("r", F.row_number().over(near))
-    open_ = listed.where((F.col("r") <= beam) & ~F.col("expanded")).withColumn("o", F.row_number().over(near)).where(F.col("o") <= width).select("q", "id")
+    open_ = listed.where((F.col("r") <= beam) & F.col("hop").isNull()).withColumn("o", F.row_number().over(near)).where(F.col("o") <= width).select("q", "id")
     reached = open_.join(graph.select(F.col("src").alias("id"), "dst"), "id").select("q", F.col("dst").alias("id")).distinct()
     fresh = reached.join(state.select("q", "id"), ["q", "id"], "left_anti")
     scored = fresh.join(queries.select("q", F.col("v").alias("qv")), "q").join(base.select("id", "v"), "id")
-    new = scored.select("q", "id", distance(metric, F.col("qv"), F.col("v")).alias("dist"), F.lit(False).alias("expanded"))
-    marked = state.join(open_.withColumn("now", F.lit(True)), ["q", "id"], "left")
-    old = marked.select("q", "id", "dist", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded"))
+    new = scored.select("q", "id", distance(metric, F.col("qv"), F.col("v")).alias("dist"), F.lit(None).cast("int").alias("hop"))
+    marked = state.join(open_.withColumn("now", F.lit(hop)), ["q", "id"], "left")
+    old = marked.select("q", "id", "dist", F.coalesce("hop", "now").alias("hop"))
     return old.union(new), open_
 
 
-def hops(queries: DataFrame, base: DataFrame, graph: DataFrame, k: int, beam: int, width: int, max_hops: int, metric: str = "l2", until_done: bool = False) -> DataFrame:
-    """(q, id, dist, rank) after max_hops hops, or earlier if until_done and nothing is left to expand.
+def hops(queries: DataFrame, base: DataFrame, graph: DataFrame, k: int, beam: int, width: int, max_hops: int | None, metric: str = "l2", until_done: bool = False) -> DataFrame:
+    """(q, id, dist, rank, hops, dist_comps, entry) after max_hops hops, or earlier if until_done and nothing is left to expand.
 
-    queries: (q, v, entry); base: (id, v); graph: (src, dst). State is staged after each hop.
+    max_hops None: until nothing is left to expand. hops: those in which the query expanded a vertex; dist_comps: vertices
+    it has seen. queries: (q, v, entry); base: (id, v); graph: (src, dst). State is staged after each hop.
     """
     start = queries.join(base.withColumnRenamed("v", "bv"), F.col("entry") == F.col("id"))
-    state = start.select("q", "id", distance(metric, F.col("v"), F.col("bv")).alias("dist"), F.lit(False).alias("expanded"))
+    state = start.select("q", "id", distance(metric, F.col("v"), F.col("bv")).alias("dist"), F.lit(None).cast("int").alias("hop"))
     state = stage(state)
-    for _ in range(max_hops):
-        grown, open_ = _expand(state, queries, base, graph, beam, width, metric)
-        if until_done and open_.isEmpty():
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
+        grown, open_ = _expand(state, queries, base, graph, beam, width, metric, hop)
+        if (until_done or max_hops is None) and open_.isEmpty():
             break
         state = stage(grown)
-    return top_k(state.select("q", "id", "dist"), k)
+    counts = state.groupBy("q").agg(F.coalesce(F.max("hop"), F.lit(0)).alias("hops"), F.count("*").alias("dist_comps"))
+    found = top_k(state.select("q", "id", "dist"), k).join(counts, "q").join(queries.select("q", "entry"), "q")
+    return found.select("q", "id", "dist", F.col("rank").cast("int").alias("rank"), "hops", "dist_comps", F.col("entry").cast("long").alias("entry"))
 
 
 def graph_bytes(base: DataFrame, graph: DataFrame) -> int:
@@ -114,10 +119,10 @@ def in_memory(queries: DataFrame, base: DataFrame, graph: DataFrame, k: int, bea
 
 
 def beam_search(queries: DataFrame, base: DataFrame, graph: DataFrame, k: int, beam: int, width: int, metric: str = "l2") -> DataFrame:
-    """In memory where the graph's size allows it, by joins otherwise."""
+    """In memory where the graph's size allows it, by joins otherwise: the same rows and columns."""
     if graph_bytes(base, graph) <= MEMORY_BYTES:
         return in_memory(queries, base, graph, k, beam, width, metric)
-    return hops(queries, base, graph, k, beam, width, 1 << 10, metric, until_done=True)
+    return hops(queries, base, graph, k, beam, width, None, metric)
 
 
 def merge_lists(candidates: DataFrame, incoming: DataFrame, beam: int) -> DataFrame:

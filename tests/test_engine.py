@@ -245,3 +245,22 @@ def test_long_chains_are_followed_to_their_end(spark, sf, monkeypatch):
     monkeypatch.setattr(graph_analytics, "CYCLE_CHECK", 8, raising=False)
     with pytest.raises(ValueError):
         graph_analytics.sssp(spark.createDataFrame([(1, 2, -1.0), (2, 1, 0.0)], "src long, dst long, weight double"), 1)
+
+
+def test_beam_search_is_the_same_by_both_paths(spark, monkeypatch):
+    base = rows(spark, np.random.default_rng(8).normal(size=(50, 4)).tolist()).cache()
+    graph = graph_build.build(base, 8, 4).select("src", "dst").cache()
+    q = graph_search.entries(asked(base.where("id % 9 = 0")), "random", n=60)  # one or another entry is no vertex
+    found = [graph_search.beam_search(q, base, graph, 5, 6, 2)]
+    monkeypatch.setattr(graph_search, "MEMORY_BYTES", 0)
+    found.append(graph_search.beam_search(q, base, graph, 5, 6, 2))
+    a, b = ([(*r[:2], round(r[2], 9), *r[3:]) for r in f.orderBy("q", "rank").collect()] for f in found)
+    assert found[0].dtypes == found[1].dtypes and a and a == b
+
+
+def test_joins_of_beam_search_go_on_to_the_end(spark):
+    line = rows(spark, [[i] for i in range(30)]).coalesce(1).cache()
+    graph = spark.createDataFrame([(i, i + 1) for i in range(29)], "src long, dst long").coalesce(1).cache()
+    far = asked(line.where("id = 29")).withColumn("entry", F.lit(0).cast("long"))
+    r = graph_search.hops(far, line, graph, 1, 4, 1, None).first()
+    assert (r["id"], r["hops"], r["dist_comps"], r["entry"]) == (29, 30, 30, 0)
