@@ -51,10 +51,10 @@ class Scratch:
         self.n = 0
         atexit.register(self._clean)
 
-    def write(self, df: DataFrame, label: str = "t") -> DataFrame:
+    def write(self, df: DataFrame, label: str = "t", compression: str | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{label}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._nearframe_path = path
         return out

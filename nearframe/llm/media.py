@@ -193,14 +193,15 @@ def pcm(df: DataFrame, media_col: str = "media", rate: int = 16000) -> DataFrame
     return add_columns(df, [T.StructField("pcm", T.BinaryType(), True)], run)
 
 
-def read_back(df: DataFrame, media_col: str = "media", rate: int = 16000) -> DataFrame:
+def read_back(df: DataFrame, media_col: str = "media", rate: int = 16000, pcm_col: str | None = None) -> DataFrame:
     """Digests and features from stored bytes: payload_*, tail_crc32, media_*, feature (null media: null values).
 
     feature: rms, peak and sign changes of the resampled PCM, and the rms of the same bytes read as A-law and,
-    in blocks of 64, as ADPCM; ADPCM blocks of a batch are decoded together.
+    in blocks of 64, as ADPCM; ADPCM blocks of a batch are decoded together. pcm_col: the resampled PCM as it was stored
+    (see pcm), instead of resampling here.
     """
     prepare(df.sparkSession)
-    at = df.columns.index(media_col)
+    at, ready = df.columns.index(media_col), None if pcm_col is None else df.columns.index(pcm_col)
     kinds = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()),
              ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
 
@@ -211,19 +212,22 @@ def read_back(df: DataFrame, media_col: str = "media", rate: int = 16000) -> Dat
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         rows: list[tuple | None] = []
         blobs = batch.column(at).to_pylist()
+        pcms = [None] * len(blobs) if ready is None else batch.column(ready).to_pylist()
         for lo in range(0, len(blobs), 64):
             group = blobs[lo : lo + 64]
             parsed = [None if b is None else unwave(b) for b in group]
             blocks = [np.frombuffer(p[3], np.uint8)[: len(p[3]) // UNIT * UNIT].reshape(-1, UNIT) if p else np.empty((0, UNIT), np.uint8) for p in parsed]
             adpcm = decode_ima(np.concatenate(blocks)) if blocks else np.empty((0, 121), np.int16)
             start = 0
-            for blob, p, mine in zip(group, parsed, blocks, strict=True):
+            for blob, p, mine, made in zip(group, parsed, blocks, pcms[lo : lo + 64], strict=True):
                 if p is None:
                     rows.append(None)
                     continue
                 data = p[3]
-                own, samples = decode(blob)
-                out = resample(samples, own, rate)
+                if made is None:
+                    own, samples = decode(blob)
+                    made = resample(samples, own, rate).astype("<i2").tobytes()
+                out = np.frombuffer(made, "<i2")
                 signs = int(np.count_nonzero((out[1:] < 0) != (out[:-1] < 0)))
                 peak = int(np.abs(out.astype(np.int32)).max(initial=0))
                 third = rms(adpcm[start : start + len(mine)].reshape(-1))

@@ -99,8 +99,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearframe.llm import media
 
-    stored = media.store_text(_table(spark, sf_dir, "documents", "doc_id", "text"), codec="mulaw")
-    return media.read_back(stored.drop("text")).drop("media").withColumn("doc_id", F.col("doc_id").cast("long"))
+    from nearframe.llm.common import Scratch
+
+    stored = media.store_text(_table(spark, sf_dir, "documents", "doc_id", "text"), codec="mulaw").drop("text")
+    kept = Scratch(spark, "media").write(media.pcm(stored, rate=16000), "media", "zstd")  # the digests come from the table
+    return media.read_back(kept, pcm_col="pcm").drop("media", "pcm").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,3 +244,20 @@ def test_windows_equal_all_windows():
         w, g = text.split(), set(licenses.bigrams(template))
         dice = [2 * len(b & g) / (len(b) + len(g)) for lo in range(len(w) - 11) for b in [set(licenses.bigrams(" ".join(w[lo : lo + 12])))]]
         assert (licenses.match(text, licenses.index({"x": [template]}))[0] is not None) == (max(dice) >= licenses.THRESHOLD)
+
+
+def test_media_and_pcm_are_stored_as_a_table(spark, sf):
+    import glob
+
+    from nearframe.llm import queries
+
+    base = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/nearframe-media-*"
+    before = set(glob.glob(base))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r.asDict() for r in queries.op6_media(spark, sf).collect()}
+    (made,) = set(glob.glob(base)) - before
+    kept = {r["doc_id"]: r for r in spark.read.parquet(f"{made}/001-media").collect()}
+    assert set(kept) == set(got) == {r["doc_id"] for r in docs.collect()}
+    assert all(hashlib.sha256(bytes(k["media"])).hexdigest() == got[i]["media_sha256"] and f"n={len(k['pcm']) // 2};" in got[i]["feature"] for i, k in kept.items())
+    direct = media.read_back(media.store_text(docs).drop("text")).drop("media")
+    assert {r["doc_id"]: r.asDict() for r in direct.collect()} == got
