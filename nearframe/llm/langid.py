@@ -23,10 +23,10 @@ from nearframe.llm.common import Scratch, add_columns, prepare
 
 BUCKETS = 1 << 15
 TEMPER = 0.3
-UND = "und"
+UND, OTHER = "und", "other"
 #: Pseudo-counts of the smoothing of hosts by domains and of domains by the whole.
 KAPPA = 20.0
-#: Bound of the labelled sample for each language, and of the number of languages.
+#: Bound of the labelled sample for each language, and of the number of languages with a model of their own.
 TRAIN_PER_LABEL, MAX_LABELS = 400, 64
 
 
@@ -55,7 +55,8 @@ def grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def fit(df: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_label: int = TRAIN_PER_LABEL) -> Model:
     """Trigram models from a sample of at most per_label labelled rows a language (the smallest hashes of ids).
 
-    Rows without label or text don't count; more than MAX_LABELS languages is an error. No labelled row: no label.
+    Rows without label or text don't count. Of more than MAX_LABELS languages, those with the most rows (on ties the lower
+    name) have a model of their own, all others one together, "other". No labelled row: no label.
     """
     prepare(df.sparkSession, 256)
     text = F.col(f"`{text_col}`").cast("string")
@@ -67,7 +68,9 @@ def fit(df: DataFrame, label_col: str = "lang", text_col: str = "text", id_col:
     # the bound of each language's hashes first, without texts: a task then never gathers texts of all others
     cuts = lowest(rows.select("label", "h")).groupBy("label").agg(F.max("h").alias("cut")).limit(MAX_LABELS + 1).collect()
     if len(cuts) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} languages")
+        large = rows.where(F.col("label") != OTHER).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS).collect()
+        rows = rows.withColumn("label", F.when(F.col("label").isin(*[x["label"] for x in large]), F.col("label")).otherwise(OTHER))
+        cuts = lowest(rows.select("label", "h")).groupBy("label").agg(F.max("h").alias("cut")).collect()
     low = reduce(operator.or_, [(F.col("label") == c["label"]) & (F.col("h") <= c["cut"]) for c in cuts], F.lit(False))
     sample = lowest(rows.where(low)).select("label", "text")
 
@@ -90,7 +93,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds ``loglik`` array<double>, a language each and "und" last (tempered), and ``n_grams``."""
     prepare(df.sparkSession, 256)
     at = df.columns.index(text_col)
-    shared = df.sparkSession.sparkContext.broadcast(model.logp)  # MAX_LABELS * BUCKETS * 4 bytes at most
+    shared = df.sparkSession.sparkContext.broadcast(model.logp)  # (MAX_LABELS + 1) * BUCKETS * 4 bytes at most
     n = len(model.labels) + 1
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -159,7 +162,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", declared: Colu
     scratch = Scratch(spark, "langid")
     none = F.lit(None).cast("string")
     tag = F.regexp_extract(F.lower(F.coalesce(declared if declared is not None else none, F.lit(""))), "^[a-z]+", 0)
-    known = F.when(tag == "", None).when(tag.isin(*model.labels) if model.labels else F.lit(False), tag).otherwise("other")
+    known = F.when(tag == "", None).when(tag.isin(*model.labels) if model.labels else F.lit(False), tag).otherwise(OTHER)
     added = ["lang_id", "posterior", "kept", "text_lang"]
     rest = [F.col(f"`{c}`") for c in df.columns if c != text_col and c.lower() not in added]
     base = df.select(F.struct(F.lit(0).alias("_"), *rest).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), known.alias("declared"), F.lower(host if host is not None else none).alias("host"), F.lower(suffix if suffix is not None else none).alias("suffix"))

@@ -314,3 +314,14 @@ def test_pipeline_stages(spark, sf, tmp_path):
         docs = after
     assert seen["packing"] >= seen["suffix_dedup"] > 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_languages_beyond_the_bound_are_other(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LABELS", 2)
+    texts = {"aa": "alpha bravo", "bb": "kilo lima", "cc": "xyz uvw", "dd": "uvw xyz xyz"}
+    data = [(10 * n + k, " ".join([t] * 9), lang) for n, (lang, t) in enumerate(texts.items()) for k in range(3 if lang < "cc" else 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.labels == ("aa", "bb", "other")
+    got = {r["doc_id"]: r["lang_id"] for r in langid.identify(df, model, declared=F.col("lang")).collect()}
+    assert got == {i: lang if lang < "cc" else "other" for i, _, lang in data}
