@@ -9,10 +9,12 @@ one 64-bit band value.
 2. Representatives that share a band value share a bucket.  In each round every bucket names a centre, and
    members that are not yet in the centre's component are compared with it alone: rows are linear in members,
    and a group of near copies becomes one component without all its pairs being made.
-3. What is left are buckets that hold several components.  Their members meet in blocks of bounded size, so no
-   link between different texts is lost: pairs across components pass if the jointly most likely similarity of
-   ``FINE`` registers could still reach the threshold.
-4. Every link is confirmed on full shingle sets, and components come from confirmed links only.
+3. What is left are buckets that hold several components.  Two of their members can only be linked if they share one
+   of their rarest shingles (the first n - ceil(n * threshold) + 1 of n, by how many members have them), and those
+   that one member alone has don't count.  Members meet at such a shingle: up to ``MEET`` as pairs, so rows are linear
+   in members; a shingle that more have in common brings its members together in blocks of bounded size.
+4. Pairs pass if the jointly most likely similarity of their registers could reach the threshold.  Every link is
+   then confirmed on full shingle sets of 128-bit hashes, and components come from confirmed links only.
 """
 
 from __future__ import annotations
@@ -33,11 +35,10 @@ REGISTERS = 120
 BAND = 4
 B, A, Q = 1.001, 20.0, 65534
 ROUNDS = 3
-BLOCK, BLOCK_BYTES = 256, 16 << 20
+#: Members of a rare shingle that meet as pairs; of one that more have, blocks of so many members (and bytes of sets) meet.
+MEET, BLOCK, BLOCK_BYTES = 32, 256, 16 << 20
 #: Registers of the estimate within blocks.
 FINE = 1024
-#: Rows of unresolved buckets from which on another round of centres is cheaper than blocks; results are the same.
-FEW = 5000
 #: Standard errors below the threshold at which an estimate still goes to the exact check.
 MARGIN = 6.0
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -113,7 +114,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, words: int, m: int = REG
             rows = []
             for doc, s in zip(b.column(0).to_pylist(), shingle_sets(_raw(b.column(1)), words), strict=True):
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                rows.append((doc, len(s), key, sketch(s, m).astype("<u2").tobytes() if len(s) else None))
+                rows.append((doc, len(s), key, sketch(s[:, 0], m).astype("<u2").tobytes() if len(s) else None))
             yield _rows(["doc_id", "n_shingles", "set_key", "registers"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], rows)
 
     base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -121,10 +122,12 @@ def sketches(df: DataFrame, id_col: str, text_col: str, words: int, m: int = REG
 
 
 def _sets(df: DataFrame, words: int) -> DataFrame:
+    """rep and elements: the first halves of all hashes in order, then their second halves."""
+
     def run(batches):
         for b in batches:
             made = shingle_sets(_raw(b.column(1)), words)
-            yield _rows(["rep", "elements"], [pa.int64(), pa.binary()], [(i, s.tobytes()) for i, s in zip(b.column(0).to_pylist(), made, strict=True)])
+            yield _rows(["rep", "elements"], [pa.int64(), pa.binary()], [(i, s.T.tobytes()) for i, s in zip(b.column(0).to_pylist(), made, strict=True)])
 
     return df.mapInArrow(run, "rep long, elements binary")
 
@@ -143,12 +146,33 @@ def _bands(reps: DataFrame, m: int) -> DataFrame:
     return reps.select("rep", "registers").mapInArrow(run, "rep long, band int, value long")
 
 
+def _set(elements: bytes) -> np.ndarray:
+    return np.frombuffer(elements, np.uint64).reshape(2, -1)
+
+
 def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    """den * intersection >= num * union, of two sorted sets that are not empty."""
-    at = np.searchsorted(x, y)
-    at[at == len(x)] = 0
-    both = int(np.count_nonzero(x[at] == y))
-    return den * both >= num * (len(x) + len(y) - both)
+    """den * intersection >= num * union, of two sets that are not empty."""
+    n, m = x.shape[1], y.shape[1]
+    at = np.searchsorted(x[0], y[0])
+    at[at == n] = 0
+    both = int(np.count_nonzero((x[0][at] == y[0]) & (x[1][at] == y[1])))
+    return den * both >= num * (n + m - both)
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose registers and sizes allow a similarity of num / den."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                n1, n2 = (np.asarray(b.column(c)) for c in (2, 3))
+                r1, r2 = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, -1) for c in (4, 5))
+                ok = pa.array(could_link(r1, r2, n1, n2, num, den))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    side = [classes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}")) for c in "ab"]
+    met = pairs.join(side[1], "b").join(side[0], "a").select("a", "b", "na", "nb", "ra", "rb")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -157,11 +181,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     def run(batches):
         for b in batches:
             keep = []
-            last, x = None, np.empty(0, np.uint64)
+            last, x = None, np.empty((2, 0), np.uint64)
             for i, j, p, q in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if p is not last:
-                    last, x = p, np.frombuffer(p, np.uint64)
-                if _linked(x, np.frombuffer(q, np.uint64), num, den):
+                    last, x = p, _set(p)
+                if _linked(x, _set(q), num, den):
                     keep.append((i, j))
             yield _rows(["u", "v"], [pa.int64(), pa.int64()], keep)
 
@@ -170,29 +194,74 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "eb").mapInArrow(run, "u long, v long")
 
 
-def _across(rows: DataFrame, sets: DataFrame, info: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Links (u, v) that join what the rounds have left apart; rows: rep, label, centre of unresolved buckets.
+def _meeting(members: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(shingle, rep, label, n, m, centre): members of several components at the rare shingles where links must meet.
+
+    Sets of a similarity of num / den or more have at least c = ceil(n * num / den) shingles in common, n being the size
+    of either; in any order of all shingles, their first n - c + 1 then share one. The order is by frequency among the
+    members, so most sets begin with shingles of their own, which need no row. m: rows at the shingle; centre: its least rep.
+    """
 
-    Buckets that overlap form a cluster. A cluster is cut into blocks of about BLOCK members (fewer if their sets
+    def run(batches):
+        for b in batches:
+            for rep, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                first = _set(e)[0].view(np.int64)
+                own = int.from_bytes(hashlib.blake2b(e, digest_size=8).digest(), "little", signed=True)
+                cols = [np.full(len(first), x, np.int64) for x in (rep, own, len(first))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, first)], names=["rep", "own", "n", "shingle"])
+
+    every = sets.join(members.select("rep"), "rep", "left_semi").mapInArrow(run, "rep long, own long, n long, shingle long")
+    every = scratch.write(every, "shingles")
+    often = scratch.write(every.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1"), "often")
+    by_set = every.join(often, "shingle").groupBy("rep", "own", "n").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("common"))
+    # the first places belong to the set's own shingles; what is left of the prefix meets others
+    prefix = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
+    left = F.greatest(prefix - (F.col("n") - F.size("common")), F.lit(0)).cast("int")
+    rows = by_set.select("rep", "n", F.explode(F.slice("common", F.lit(1), left)).alias("c")).select("rep", "n", F.col("c.shingle").alias("shingle"))
+    rows = scratch.write(rows.join(members, "rep"), "prefixes")
+    met = rows.groupBy("shingle").agg(F.count("*").alias("m"), F.min("rep").alias("centre"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    met = scratch.write(met.where("lo <> hi").drop("lo", "hi"), "meetings")
+    out = scratch.write(rows.join(met, "shingle"), "met")
+    scratch.drop(every, often, rows, met)
+    return out
+
+
+def _apart(members: DataFrame, sets: DataFrame, classes: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links (u, v) between components that the rounds have left apart; members: rep, label of unresolved buckets."""
+    met = _meeting(members, sets, num, den, scratch)
+    few, many = met.where(F.col("m") <= MEET), met.where(F.col("m") > MEET)
+    side = [few.select("shingle", F.col("rep").alias(c), F.col("label").alias(f"l{c}"), F.col("n").alias(f"n{c}")) for c in "ab"]
+    sized = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    pairs = scratch.write(side[0].join(side[1], "shingle").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sized).select("a", "b").distinct(), "pairs")
+    links = _confirm(_likely(pairs, classes, num, den), sets, num, den)
+    return links.union(_blocks(many.select("rep", "label", "n", "centre").distinct(), sets, num, den, scratch))
+
+
+def _blocks(rows: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links between members (rep, label, n, centre) of meetings of more than MEET, in blocks.
+
+    Meetings that overlap form a cluster. A cluster is cut into blocks of about BLOCK members (fewer if their sets
     are large), and every two blocks meet in a group of their own, with finer registers and full sets. A group
     passes over pairs that its own links have already joined, so it returns fewer links than it has members.
     """
+    rows = scratch.write(rows, "many")
     spans = components(rows.select(F.col("rep").alias("u"), F.col("centre").alias("v")), scratch)
     spans = scratch.write(spans.select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "clusters")
-    members = scratch.write(rows.select("rep", "label").distinct().join(spans, "rep").join(info.select("rep", "n_shingles"), "rep"), "members")
-    parts = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") * 8 / F.lit(BLOCK_BYTES)))
+    members = scratch.write(rows.groupBy("rep", "label").agg(F.max("n").alias("n")).join(spans, "rep"), "members")
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") * 16 / F.lit(BLOCK_BYTES)))
     size = scratch.write(members.groupBy("cluster").agg(parts.cast("int").alias("blocks")), "sizes")
-    placed = members.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = members.drop("n").join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     fine = _fine(sets.join(members.select("rep"), "rep", "left_semi"))
     met = placed.join(fine, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "label", "n_shingles", "registers", "elements"
+        "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "label", "registers", "elements"
     )
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
         regs = np.frombuffer(b"".join(pdf["registers"]), "<u2").reshape(len(pdf), -1)
-        rep, n, block = (pdf[c].to_numpy() for c in ("rep", "n_shingles", "block"))
-        sets_ = [np.frombuffer(e, np.uint64) for e in pdf["elements"]]
+        rep, block = (pdf[c].to_numpy() for c in ("rep", "block"))
+        sets_ = [_set(e) for e in pdf["elements"]]
+        n = np.array([s.shape[1] for s in sets_], np.int64)
         label = np.unique(pdf["label"].to_numpy(), return_inverse=True)[1]
         out = []
         for i in range(len(pdf)):
@@ -217,7 +286,7 @@ def _fine(sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            regs = [sketch(np.frombuffer(e, np.uint64), FINE).astype("<u2").tobytes() for e in b.column(1).to_pylist()]
+            regs = [sketch(_set(e)[0], FINE).astype("<u2").tobytes() for e in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(regs, pa.binary())], names=["rep", "elements", "registers"])
 
     return sets.select("rep", "elements").mapInArrow(run, "rep long, elements binary, registers binary")
@@ -257,37 +326,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = scratch.write(bands.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
     live = scratch.write(bands.join(shared, ["band", "value"]), "buckets")
     named = scratch.write(live.select("rep").distinct(), "live")
-    info = classes.join(named, "rep", "left_semi").select("rep", "n_shingles")
     texts = docs.join(named.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     sets = scratch.write(_sets(texts, words), "sets")
     labels: DataFrame | None = None
     tried: DataFrame | None = None
-    active, round_, last = live, 0, ROUNDS == 0
-    while True:
+    active = live
+    for round_ in range(ROUNDS + 1):
         tagged = active.withColumn("label", F.col("rep")) if labels is None else active.join(labels, "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
         order = F.struct(F.xxhash64("rep", F.lit(round_)) if round_ else F.lit(0).cast("long"), F.col("rep"), F.col("label"))
         centres = tagged.groupBy("band", "value").agg(F.min(order).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         centres = scratch.write(centres.select("band", "value", F.col("c.rep").alias("centre"), F.col("c.label").alias("centre_label")), "centres")
-        here = tagged.join(centres, ["band", "value"])
-        if round_:
-            active = scratch.write(here.select("band", "value", "rep"), "active")
-            size = active.count()
-            if not size:
-                break
-            last = round_ >= ROUNDS or size <= FEW
-        if last:
-            found = scratch.write(_across(here.select("rep", "label", "centre"), sets, info, num, den, scratch), "links")
+        here = scratch.write(tagged.join(centres, ["band", "value"]), "active")  # members of buckets with several components
+        if round_ and here.isEmpty():
+            break
+        active = here.select("band", "value", "rep")
+        if round_ == ROUNDS:
+            found = _apart(scratch.write(here.select("rep", "label").distinct(), "apart"), sets, classes, num, den, scratch)
         else:
             pairs = here.where("label <> centre_label").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             new = scratch.write(pairs, "pairs")
             tried = new if tried is None else tried.union(new)
-            found = scratch.write(_confirm(new, sets, num, den), "links")
+            found = _confirm(_likely(new, classes, num, den), sets, num, den)
+        found = scratch.write(found, "links")
         labels = scratch.write(_relabel(labels, found, scratch), "labels")
-        if last:
-            break
-        round_ += 1
     out = sk.join(classes.select("set_key", "rep"), "set_key", "left")
     if labels is not None:
         out = out.join(labels, "rep", "left")

@@ -1,7 +1,13 @@
-"""Array operations over the bytes of many texts at once: words, rolling hashes, window minima."""
+"""Array operations over the bytes of many texts at once: words, rolling hashes, window minima.
+
+``slice_hash`` is a polynomial and so only picks places (anchors, features) in short windows: equality of
+texts is never decided by it. Words and shingles have 128-bit hashes that are mixed after every eight bytes.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 MASK = (1 << 64) - 1
@@ -82,9 +88,50 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
 
 
+#: Words of more bytes than this are hashed one by one (BLAKE2b).
+LONG = 64
+_SEED = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
+_STEP = (np.uint64(0xA4093822299F31D1), np.uint64(0x082EFA98EC4E6C89))
+
+
+def _mix2(x: np.ndarray) -> np.ndarray:
+    """Another bijection of the kind of ``mix``."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each data[start:end], eight bytes of all words at a time."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    h1 = mix(size.astype(np.uint64) ^ _SEED[0])
+    h2 = _mix2(size.astype(np.uint64) ^ _SEED[1])
+    at = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        rest = np.minimum(size[at] - k, 8).astype(np.uint64) * np.uint64(8)
+        lane = lanes[start[at] + k] & (np.uint64(MASK) >> (np.uint64(64) - rest))
+        h1[at] = mix((h1[at] ^ lane) + _STEP[0])
+        h2[at] = _mix2((h2[at] + lane) ^ _STEP[1])
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]], digest_size=16).digest()
+        h1[i], h2[i] = np.frombuffer(digest, "<u8")
+    return h1, h2
+
+
 def shingle_sets(raws: list[bytes], width: int) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's `width`-word shingles (shorter texts: the whole sequence)."""
-    out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(raws)
+    """The distinct `width`-word shingles of each text as 128-bit hashes, (shingles, 2), ordered by the first half.
+
+    Shorter texts: the whole sequence is the one shingle.
+    """
+    out: list[np.ndarray] = [np.empty((0, 2), np.uint64)] * len(raws)
     lo = 0
     while lo < len(raws):
         hi, size = lo, 0
@@ -95,21 +142,30 @@ def shingle_sets(raws: list[bytes], width: int) -> list[np.ndarray]:
         blank = (data == 32) | ((data >= 9) & (data <= 13))
         edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
         start, end = edge[0::2], edge[1::2]
-        word = slice_hash(prefix_hash(data), start, end)
+        w1, w2 = word_hashes(data, start, end)
         offsets = np.cumsum([0, *(len(r) + 1 for r in raws[lo:hi])])
         bound = np.searchsorted(start, offsets)
-        run = np.zeros(max(0, len(word) - width + 1), np.uint64)
+        count = max(0, len(start) - width + 1)
+        r1, r2 = np.full(count, _SEED[1]), np.full(count, _SEED[0])
         for k in range(width):
-            run = run * np.uint64(0xFF51AFD7ED558CCD) + word[k : k + len(run)]
-        run = mix(run)
+            r1 = mix((r1 ^ w1[k : k + count]) + _STEP[1])
+            r2 = _mix2((r2 + w2[k : k + count]) ^ _STEP[0])
         for i, (s, e) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)):
             if e - s >= width:
-                x = np.sort(run[s : e - width + 1])
-                out[lo + i] = x[np.concatenate([[True], x[1:] != x[:-1]])]
+                out[lo + i] = _distinct(r1[s : e - width + 1], r2[s : e - width + 1])
             elif e > s:
-                code = e - s
-                for h in word[s:e].tolist():
-                    code = (code * 0xC4CEB9FE1A85EC53 + h) & MASK
-                out[lo + i] = mix(np.array([code], np.uint64))
+                whole = b"".join([len(w).to_bytes(8, "little") + w for w in (data[a:b].tobytes() for a, b in zip(start[s:e], end[s:e], strict=True))])
+                out[lo + i] = np.frombuffer(hashlib.blake2b(whole, digest_size=16).digest(), "<u8").reshape(1, 2)
         lo = hi
     return out
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    order = np.argsort(a)
+    a, b = a[order], b[order]
+    new = np.concatenate([[True], a[1:] != a[:-1]])
+    if not new.all() and (b[1:] != b[:-1])[~new[1:]].any():  # the first halves of different shingles are equal
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return np.stack([a[new], b[new]], axis=1)

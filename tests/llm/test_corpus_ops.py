@@ -65,10 +65,10 @@ def near_corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed,rounds,few,block", [(1, 3, 0, 256), (2, 0, 5000, 8), (3, 3, 5000, 256)])
-def test_near_duplicates(spark, monkeypatch, seed, rounds, few, block):
+@pytest.mark.parametrize("seed,rounds,meet,block", [(1, 3, 32, 256), (2, 0, 1, 8), (3, 0, 1000, 256), (4, 1, 4, 4)])
+def test_near_duplicates(spark, monkeypatch, seed, rounds, meet, block):
     monkeypatch.setattr(minhash, "ROUNDS", rounds)
-    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "MEET", meet)
     monkeypatch.setattr(minhash, "BLOCK", block)
     rows = near_corpus(seed)
     df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as rep", "2 as label")
@@ -83,6 +83,46 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(df.where("doc_id < 0")).count() == 0
 
 
+def test_texts_that_a_polynomial_hash_confuses(spark):
+    """Thue-Morse strings and their complements, as one word and as many."""
+    tm = "0"
+    for _ in range(11):
+        tm += tm.translate(str.maketrans("01", "10"))
+    both = [tm.translate(str.maketrans("01", x)) for x in ("ab", "ba")]
+    rows = [(k, t) for k, t in enumerate([*both, *(" ".join(t) for t in both), *(" ".join(t[i : i + 64] for i in range(0, len(t), 64)) for t in both)])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), words=4).collect()}
+    assert got == brute_near(rows, 4, 80, 100)
+    assert got[1] == (1, 1, True)
+
+
+def test_rows_stay_linear_where_nothing_links(spark, monkeypatch):
+    """Members of one template, all alike and none linked: staged rows grow with members, not with pairs."""
+    most = {}
+
+    def counted(n):
+        rng = random.Random(11)
+        base = words(rng, 120, 5000)
+        rows = [(k, " ".join(f"u{rng.randrange(5000)}" if rng.random() < 0.06 else w for w in base)) for k in range(n)]
+        seen = []
+        write = Scratch.write
+
+        def spy(self, df, label="t", compression=None):
+            out = write(self, df, label, compression)
+            seen.append((out.count(), label))
+            return out
+
+        monkeypatch.setattr(Scratch, "write", spy)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), words=4).collect()}
+        monkeypatch.setattr(Scratch, "write", write)
+        return rows, got, max(seen)[0]
+
+    for n in (150, 600):
+        rows, got, most[n] = counted(n)
+        if n == 150:
+            assert got == brute_near(rows, 4, 80, 100)
+    assert most[600] <= 5 * most[150]
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 1 << 63, 3000, np.uint64)
