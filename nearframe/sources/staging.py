@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only in local mode."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("nearframe.scratch.dir", "")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="nearframe-")
         spark.conf.set("nearframe.scratch.dir", base)
     return base.rstrip("/")
