@@ -21,7 +21,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from nearframe.llm.common import add_columns, prepare
+from nearframe.llm.common import add_columns, position, prepare
 
 CACHE_WORDS = 250_000
 LONG_WORD = 128
@@ -285,7 +285,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", decoded_col: str |
     spark = df.sparkSession
     prepare(spark)
     source = share(spark, path)
-    at = df.columns.index(text_col)
+    at = position(df, text_col)
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)]
     if decoded_col:
         fields.append(T.StructField(decoded_col, T.StringType(), False))
@@ -309,7 +309,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     spark = df.sparkSession
     prepare(spark)
     source = share(spark, path)
-    at = df.columns.index(ids_col)
+    at = position(df, ids_col)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         vocab = loaded(source.value)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,8 +18,14 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def prepare(spark: SparkSession, rows_per_batch: int = 512) -> None:
-    """Small Arrow batches (documents can be long), and this package on the workers' path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
+    """Small Arrow batches (documents can be long), and this package on the workers' path.
+
+    Plans are lazy and read these settings when they run, so they can't be put back here: the batch size is
+    lowered if it is larger, and never raised, so the order of calls does not matter.
+    """
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > rows_per_batch:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
     # shuffle files go when the query that made them ends, not when the driver collects its garbage
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     env = spark.sparkContext.environment
@@ -28,11 +35,13 @@ def prepare(spark: SparkSession, rows_per_batch: int = 512) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only in local mode."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("nearframe.scratch.dir", "") or ""
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="nearframe-")
             spark.conf.set("nearframe.scratch.dir", base)
     return base.rstrip("/")
@@ -51,10 +60,10 @@ class Scratch:
         self.n = 0
         atexit.register(self._clean)
 
-    def write(self, df: DataFrame, label: str = "t", compression: str | None = None) -> DataFrame:
+    def write(self, df: DataFrame, label: str = "t", compression: str | None = None, **options: str) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{label}"
-        df.write.parquet(path, compression=compression)
+        df.write.options(**options).parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._nearframe_path = path
         return out
@@ -86,6 +95,23 @@ def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
+def position(df: DataFrame, name: str) -> int:
+    """Where the column is that Spark resolves the name to."""
+    if name in df.columns:
+        return df.columns.index(name)
+    field = df.select(F.col(f"`{name}`")).schema[0].name  # raises if there is none, or more than one
+    found = [i for i, c in enumerate(df.columns) if c == field or c.lower() == name.lower()]
+    return found[0]
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """wish, or wish with underscores behind it, whichever no column is called."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drops columns that an operator is about to add (names compare as Spark resolves them)."""
     new = {n.lower() for n in names}

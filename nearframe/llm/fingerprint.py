@@ -16,10 +16,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from nearframe.llm.common import prepare
+from nearframe.llm.common import add_columns, position, prepare
 from nearframe.llm.vectext import prefix_hash, slice_hash, window_argmin
 
 WINDOW = 64
@@ -156,12 +157,8 @@ def load(s: str) -> np.ndarray:
 
 def fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """Adds the fingerprint of each whole text (null: empty); a column of that name is replaced."""
-    from pyspark.sql import types as T
-
-    from nearframe.llm.common import add_columns
-
     prepare(df.sparkSession, 256)
-    at = df.columns.index(text_col)
+    at = position(df, text_col)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         raws = [(t or "").encode("utf-8", "replace") for t in batch.column(at).to_pylist()]
@@ -170,17 +167,61 @@ def fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fingerpri
     return add_columns(df, [T.StructField(out_col, T.StringType(), False)], run)
 
 
-def _bucket(x: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at or below x, by a search in two steps."""
+def _key(id_: Column, text: Column) -> Column:
+    """Order of documents, null ids first: by id; of equal ids by a hash of the text; equal rows as they come."""
+    return F.struct(id_.isNotNull().alias("some"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(text).alias("hash"), F.xxhash64(F.monotonically_increasing_id()).alias("nth"))
+
+
+def _bounds(docs: DataFrame, n: int) -> list[tuple[bool, int, int, int]]:
+    """Keys that cut the documents into about n buckets: quantiles of ids, and of hashes where many rows have one id."""
+    width = 1 << 64
+
+    def cuts(parts: int) -> list[int]:
+        return [k * width // parts - (width >> 1) for k in range(1, parts)]
+
+    def spread(some: bool, id_: int, share: float) -> list[tuple[bool, int, int, int]]:
+        """Within one id: by the text's hash, and by row within each text's hash (equal rows can be many)."""
+        parts = min(n, math.ceil(share * n))
+        rows = docs.where(F.col("doc_id").eqNullSafe(F.lit(id_ if some else None).cast("long")))
+        heavy = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.count("*").alias("c")).where(F.col("c") * n > size)
+        out = [(some, id_, h, -(width >> 1)) for h in cuts(parts)]
+        for r in heavy.collect():  # fewer than n: each has more than a share of 1 / n of all rows
+            out += [(some, id_, r["h"], x) for x in cuts(min(n, math.ceil(r["c"] * n / size)))]
+        return out
+
+    counts = docs.agg(F.count("*"), F.count("doc_id")).first()
+    size, ids = counts[0], counts[1]
+    out: list[tuple[bool, int, int, int]] = []
+    if n < 2 or not size:
+        return out
+    if (size - ids) * n > size:
+        out += spread(False, 0, (size - ids) / size)
+    if ids:
+        # quantiles are doubles: beyond 2^53 a bound moves by a few ids, and stays in the range of longs
+        edges = docs.where("doc_id is not null").approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (4 * n))
+        whole = [min(max(int(x), -(width >> 1)), (width >> 1) - 1) for x in edges]
+        out += [(True, x, -(width >> 1), -(width >> 1)) for x in set(whole)]
+        for x in {x for x in whole if whole.count(x) > 1}:
+            here = docs.where(F.col("doc_id") == x).count()
+            if here * n > size:
+                out += spread(True, x, here / size)
+    return sorted(set(out))
+
+
+def _bucket(key: Column, bounds: list[tuple[bool, int, int, int]]) -> Column:
+    """How many of the sorted bounds are at or below the key, by a search in two steps."""
+    if not bounds:
+        return F.lit(0)
     width = max(1, math.isqrt(len(bounds)))
     chunks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
 
-    def longs(v: list[int]) -> Column:
-        return F.array(*[F.lit(b).cast("long") for b in v])
+    def keys(rows: list[tuple[bool, int, int, int]]) -> Column:
+        names = ("some", "id", "hash", "nth")
+        return F.array(*[F.struct(*[(F.lit(v) if k == "some" else F.lit(v).cast("long")).alias(k) for k, v in zip(names, r, strict=True)]) for r in rows])
 
-    coarse = F.size(F.filter(longs([c[0] for c in chunks]), lambda b: b <= x))
-    fine = F.get(F.array(*[longs(c) for c in chunks]), coarse - 1)
-    return F.when(x.isNull() | (coarse == 0), F.lit(0)).otherwise((coarse - 1) * width + F.size(F.filter(fine, lambda b: b <= x))).cast("int")
+    coarse = F.size(F.filter(keys([c[0] for c in chunks]), lambda b: b <= key))
+    fine = F.get(F.array(*[keys(c) for c in chunks]), coarse - 1)
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * width + F.size(F.filter(fine, lambda b: b <= key))).cast("int")
 
 
 OUT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
@@ -191,30 +232,26 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Fingerprints of each text, of its edited text and of the next document's, and their likeness.
 
     Edited: the last floor(n/4) code points give way to the first as many (or all) of the next document by
-    ascending id; after the last comes the first.  Order: null ids first, repeated ids by text.  A null text
-    is empty.  Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next;
-    an empty table gives an empty table; other columns are not carried.
+    ascending id; after the last comes the first.  Order: null ids first, rows of one id by a hash of their texts.
+    A null text is empty.  Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next; an empty table gives an empty table; other columns are not carried.
 
-    Texts move once, to buckets of consecutive ids whose bounds are quantiles (their number follows the number
-    of shuffle partitions); each bucket also gets the first document of the next one that isn't empty.
+    Texts move once, to buckets of consecutive documents whose bounds are quantiles (their number follows the number
+    of shuffle partitions; an id or a text that very many rows have is cut too); each bucket also gets the first document
+    of the next one that isn't empty.
     """
     spark = df.sparkSession
     prepare(spark, 256)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     n = min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    edges = docs.select("doc_id").approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    bounds = sorted({int(x) for x in edges})
-    placed = docs.withColumn("bucket", _bucket(F.col("doc_id"), bounds) if bounds else F.lit(0))
-    # one row a bucket: its first id and text, and the bucket before it
-    from pyspark.sql import Window
-
-    least = placed.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("has_null"))
-    least = least.select("bucket", F.when(~F.col("has_null"), F.col("least")).alias("least"))
+    keyed = docs.withColumn("key", _key(F.col("doc_id"), F.col("text")))
+    placed = keyed.withColumn("bucket", _bucket(F.col("key"), _bounds(docs, n)))
+    # one row a bucket: the bucket before it takes its first document
+    least = placed.groupBy("bucket").agg(F.min("key").alias("least"))
     order = Window.orderBy("bucket")
-    numbered = least.select("*", F.lag("bucket").over(order).alias("before"), F.max("bucket").over(Window.partitionBy()).alias("last"))
-    heads = placed.select("doc_id", "text", F.col("bucket").alias("b")).join(F.broadcast(numbered), F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("b") == F.col("bucket")))
-    heads = heads.groupBy("doc_id", F.coalesce("before", "last").alias("bucket")).agg(F.min("text").alias("text"))
-    rows = placed.select("bucket", F.lit(False).alias("follows"), "doc_id", "text").union(heads.select("bucket", F.lit(True), "doc_id", "text"))
+    numbered = least.select("least", F.col("bucket").alias("own"), F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("before"))
+    heads = placed.join(F.broadcast(numbered), (F.col("bucket") == F.col("own")) & F.col("key").eqNullSafe(F.col("least")))
+    rows = placed.select("bucket", F.lit(False).alias("follows"), "doc_id", "text", "key").union(heads.select("before", F.lit(True), "doc_id", "text", "key"))
 
     def emit(docs_: list[tuple], chains: list[np.ndarray], nexts: list[tuple], next_chains: list[np.ndarray]) -> pa.RecordBatch:
         edited = [t[: len(t) - len(t) // 4] + u[: len(t) // 4] for (_, t), (_, u) in zip(docs_, nexts, strict=True)]
@@ -241,4 +278,5 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield emit([d for d, _ in first], [c for _, c in first], [d for d, _ in second], [c for _, c in second])
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "follows", "doc_id", "text").mapInArrow(run, schema)
+    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "follows", "key")
+    return ordered.select("bucket", "follows", "doc_id", "text").mapInArrow(run, schema)

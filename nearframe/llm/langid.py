@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearframe.llm.common import Scratch, add_columns, prepare
+from nearframe.llm.common import Scratch, add_columns, free_name, position, prepare
 
 BUCKETS = 1 << 15
 TEMPER = 0.3
@@ -92,7 +92,7 @@ def fit(df: DataFrame, label_col: str = "lang", text_col: str = "text", id_col:
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds ``loglik`` array<double>, a language each and "und" last (tempered), and ``n_grams``."""
     prepare(df.sparkSession, 256)
-    at = df.columns.index(text_col)
+    at = position(df, text_col)
     shared = df.sparkSession.sparkContext.broadcast(model.logp)  # (MAX_LABELS + 1) * BUCKETS * 4 bytes at most
     n = len(model.labels) + 1
 
@@ -106,12 +106,17 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 size += len(raws[hi])
                 hi += 1
             g, count = grams(raws[lo:hi])
-            total = np.zeros((len(logp) + 1, len(g) + 1))
-            for k in range(len(logp)):
-                np.cumsum(logp[k][g], out=total[k, 1:])
-            total[-1, 1:] = np.arange(1, len(g) + 1) * -np.log(BUCKETS)
             cut = np.concatenate([[0], np.cumsum(count)])
-            out.append((total[:, cut[1:]] - total[:, cut[:-1]]) * TEMPER)
+            total = np.empty((len(logp) + 1, len(count)))
+            total[-1] = count * -np.log(BUCKETS)
+            for k, row in enumerate(logp):  # one language at a time, and a million trigrams of it
+                sums = np.zeros(len(count))
+                for at_ in range(0, len(g), 1 << 20):
+                    part = np.concatenate([[0.0], np.cumsum(row[g[at_ : at_ + (1 << 20)]], dtype=np.float64)])
+                    ends = np.clip(cut - at_, 0, len(part) - 1)
+                    sums += part[ends[1:]] - part[ends[:-1]]
+                total[k] = sums
+            out.append(total * TEMPER)
             sizes.append(count)
             lo = hi
         flat = np.concatenate(out, axis=1).T.reshape(-1)
@@ -164,8 +169,9 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", declared: Colu
     tag = F.regexp_extract(F.lower(F.coalesce(declared if declared is not None else none, F.lit(""))), "^[a-z]+", 0)
     known = F.when(tag == "", None).when(tag.isin(*model.labels) if model.labels else F.lit(False), tag).otherwise(OTHER)
     added = ["lang_id", "posterior", "kept", "text_lang"]
-    rest = [F.col(f"`{c}`") for c in df.columns if c != text_col and c.lower() not in added]
-    base = df.select(F.struct(F.lit(0).alias("_"), *rest).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), known.alias("declared"), F.lower(host if host is not None else none).alias("host"), F.lower(suffix if suffix is not None else none).alias("suffix"))
+    rest = [F.col(f"`{c}`") for i, c in enumerate(df.columns) if i != position(df, text_col) and c.lower() not in added]
+    filler = free_name(df, "_")  # a struct needs a field
+    base = df.select(F.struct(F.lit(0).alias(filler), *rest).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), known.alias("declared"), F.lower(host if host is not None else none).alias("host"), F.lower(suffix if suffix is not None else none).alias("suffix"))
     scored = score(base, model).drop("text")
     names = F.array(*[F.lit(x) for x in (*model.labels, UND)])
     n = len(model.labels) + 1
@@ -195,11 +201,16 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", declared: Colu
     lang = F.when(F.col("n_grams") == 0, F.lit(UND)).otherwise(F.element_at(names, best))
     by_text = F.when(F.col("n_grams") == 0, F.lit(UND)).otherwise(F.element_at(names, F.array_position("post", F.array_max("post")).cast("int")))
     posterior = F.array_max("fused")
-    return out.select("row.*", lang.alias("lang_id"), posterior.alias("posterior"), ((lang != UND) & (posterior >= min_posterior)).alias("kept"), by_text.alias("text_lang")).drop("_")
+    own = [F.col("row")[c.name].alias(c.name) for c in base.schema["row"].dataType.fields[1:]]
+    return out.select(*own, lang.alias("lang_id"), posterior.alias("posterior"), ((lang != UND) & (posterior >= min_posterior)).alias("kept"), by_text.alias("text_lang"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """Pages with ``text``, ``declared`` and ``host`` taken from html and url."""
+    """page_id, text, declared and host of pages (page_id, url, html); other columns are not carried.
+
+    A null html is an empty text and declares nothing; a null or odd url has no host. Repeated pages are read each; an
+    empty table gives an empty table.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
     text = F.regexp_replace(html, "(?is)<(script|style)\\b.*?</\\1\\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", " ")
     declared = F.regexp_extract(html, "(?i)<html[^>]*\\slang\\s*=\\s*[\"']?([a-z]+)", 1)

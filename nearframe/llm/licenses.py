@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearframe.llm.common import add_columns, prepare
+from nearframe.llm.common import add_columns, free_name, prepare
 
 THRESHOLD = 0.8
 # Texts of licence notices.
@@ -195,7 +195,8 @@ def scan(df: DataFrame, text_col: str = "text", templates: dict[str, list[str]]
     """
     prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(index(templates) if templates else standard())
-    staged = df.select("*", F.col(f"`{text_col}`").cast("string").alias("__text"))
+    helper = free_name(df, "__text")
+    staged = df.select("*", F.col(f"`{text_col}`").cast("string").alias(helper))
     at = len(staged.columns) - 1
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -204,4 +205,4 @@ def scan(df: DataFrame, text_col: str = "text", templates: dict[str, list[str]]
         return [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64())]
 
     fields = [T.StructField("license", T.StringType(), True), T.StructField("dice", T.DoubleType(), False), T.StructField("n_matches", T.LongType(), False)]
-    return add_columns(staged, fields, run).drop("__text")
+    return add_columns(staged, fields, run).drop(helper)
