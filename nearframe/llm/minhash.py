@@ -234,7 +234,7 @@ def _apart(members: DataFrame, sets: DataFrame, classes: DataFrame, num: int, de
     sized = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     pairs = scratch.write(side[0].join(side[1], "shingle").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sized).select("a", "b").distinct(), "pairs")
     links = _confirm(_likely(pairs, classes, num, den), sets, num, den)
-    return links.union(_blocks(many.select("rep", "label", "n", "centre").distinct(), sets, num, den, scratch))
+    return links if many.isEmpty() else links.union(_blocks(many.select("rep", "label", "n", "centre").distinct(), sets, num, den, scratch))
 
 
 def _blocks(rows: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -330,17 +330,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = scratch.write(_sets(texts, words), "sets")
     labels: DataFrame | None = None
     tried: DataFrame | None = None
-    active = live
-    for round_ in range(ROUNDS + 1):
+    active, round_, last = live, 0, ROUNDS == 0
+    while True:
         tagged = active.withColumn("label", F.col("rep")) if labels is None else active.join(labels, "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
         order = F.struct(F.xxhash64("rep", F.lit(round_)) if round_ else F.lit(0).cast("long"), F.col("rep"), F.col("label"))
         centres = tagged.groupBy("band", "value").agg(F.min(order).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         centres = scratch.write(centres.select("band", "value", F.col("c.rep").alias("centre"), F.col("c.label").alias("centre_label")), "centres")
         here = scratch.write(tagged.join(centres, ["band", "value"]), "active")  # members of buckets with several components
-        if round_ and here.isEmpty():
+        if here.isEmpty():
             break
         active = here.select("band", "value", "rep")
-        if round_ == ROUNDS:
+        if last:
             found = _apart(scratch.write(here.select("rep", "label").distinct(), "apart"), sets, classes, num, den, scratch)
         else:
             pairs = here.where("label <> centre_label").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
@@ -350,7 +350,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             tried = new if tried is None else tried.union(new)
             found = _confirm(_likely(new, classes, num, den), sets, num, den)
         found = scratch.write(found, "links")
-        labels = scratch.write(_relabel(labels, found, scratch), "labels")
+        joined = not found.isEmpty()
+        if joined:
+            labels = scratch.write(_relabel(labels, found, scratch), "labels")
+        if last:
+            break
+        round_ += 1
+        last = round_ >= ROUNDS or not joined
     out = sk.join(classes.select("set_key", "rep"), "set_key", "left")
     if labels is not None:
         out = out.join(labels, "rep", "left")
