@@ -7,7 +7,9 @@
 5. packing: what is left becomes sequences of at most 1024 tokens.
 
 A document without text is not a duplicate of anything: stage 1 rejects it, as no language can be told.
-Columns of the documents other than text and n_chars pass unchanged; n_chars follows the text.
+All but the last stage return the five columns of documents (other columns are not carried); n_chars follows the text.
+Rows that repeat an id are judged each by its own text, and so are rows without one; of rows equal in id and text one
+stays after stage 3. An empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -39,13 +41,13 @@ def _with_text(df: DataFrame, text) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
+    docs = docs.select(*COLUMNS).withColumn("_h", F.xxhash64(F.lit(1), "text"))
     model = langid.fit(docs)
     found = langid.identify(docs, model, declared=F.col("lang"), host=F.col("source"))
-    # rows that repeat an id go only if all of them are rejected
-    rejected = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id")
+    rejected = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g")).distinct()
     rejected = Scratch(spark, "rejected").write(rejected)  # its size is then known: texts only move if it is large
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    mine = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g"))
+    return docs.join(rejected, mine, "left_anti").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +57,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    gone = minhash.near_duplicates(docs, words=SHINGLE_WORDS).where("not kept").select("doc_id")
-    gone = Scratch(spark, "copies").write(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    scratch = Scratch(spark, "copies")
+    again = scratch.write(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_again")))
+    rows = docs.withColumn("_node", F.col("doc_id"))
+    if not again.isEmpty():  # rows without an id of their own get a number by id and text, above usual ids
+        number = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+        told = docs.dropDuplicates(["doc_id", "text"]).join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        rows = scratch.write(told.select(*COLUMNS, F.when(F.col("_again"), number).otherwise(F.col("doc_id")).alias("_node")))
+    gone = minhash.near_duplicates(rows, id_col="_node", words=SHINGLE_WORDS).where("not kept").select(F.col("doc_id").alias("_node"))
+    gone = scratch.write(gone)
+    return rows.join(gone, "_node", "left_anti").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
