@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from nearframe.llm.common import add_columns, prepare
+from nearframe.llm.common import add_columns, position, prepare
 
 UNIT = 64
 RATE = 8000
@@ -71,6 +71,8 @@ def unwave(blob: bytes) -> tuple[str, int, int, bytes]:
         if len(body) < size:
             raise ValueError("the file is cut short")
         if name == b"fmt ":
+            if size < 16:
+                raise ValueError("the format is cut short")
             tag, channels, rate, _, align = struct.unpack_from("<HHIIH", body)
             codec = {v: k for k, v in TAGS.items()}.get(tag, "")
             if not codec or channels != 1:
@@ -80,6 +82,8 @@ def unwave(blob: bytes) -> tuple[str, int, int, bytes]:
         at += 8 + size + size % 2
     if data is None or not codec:
         raise ValueError("no format or no data")
+    if rate <= 0 or codec == "ima" and align <= 4:
+        raise ValueError("no sample rate, or blocks without samples")
     return codec, rate, align, data
 
 
@@ -125,8 +129,11 @@ def encode_ima(samples: np.ndarray, block: int = 256) -> bytes:
 
 
 def decode(blob: bytes) -> tuple[int, np.ndarray]:
-    """Rate and int16 samples of a WAVE file."""
-    codec, rate, align, data = unwave(blob)
+    """Rate and int16 samples of a WAVE file; ValueError if it can't be read."""
+    return _expand(*unwave(blob))
+
+
+def _expand(codec: str, rate: int, align: int, data: bytes) -> tuple[int, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
     if codec == "pcm":
         return rate, raw[: len(raw) // 2 * 2].view("<i2").astype(np.int16)
@@ -135,6 +142,28 @@ def decode(blob: bytes) -> tuple[int, np.ndarray]:
     return rate, (MULAW if codec == "mulaw" else ALAW)[raw]
 
 
+def parse(blob: bytes | None) -> tuple[str, int, int, bytes] | None:
+    """What ``unwave`` finds, or None."""
+    try:
+        return None if blob is None else unwave(blob)
+    except (ValueError, struct.error):
+        return None
+
+
+def decode_all(blobs: list[bytes | None]) -> list[tuple[int, np.ndarray] | None]:
+    """Rate and samples of each blob (None if null or unreadable); ADPCM blocks of one size are decoded across blobs."""
+    found = [parse(b) for b in blobs]
+    out = [None if p is None or p[0] == "ima" else _expand(*p) for p in found]
+    for align in {p[2] for p in found if p and p[0] == "ima"}:
+        of = [i for i, p in enumerate(found) if p and p[0] == "ima" and p[2] == align]
+        raws = [np.frombuffer(found[i][3], np.uint8) for i in of]
+        blocks = [r[: len(r) // align * align].reshape(-1, align) for r in raws]
+        samples = np.split(decode_ima(np.concatenate(blocks)), np.cumsum([len(b) for b in blocks])[:-1])
+        for i, x in zip(of, samples, strict=True):
+            out[i] = (found[i][1], x.reshape(-1))
+    return out
+
+
 def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     """Linear interpolation in whole numbers: the same samples on every machine."""
     if rate == to or not len(samples):
@@ -153,14 +182,35 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     return ((x[low] * (to - part) + x[high] * part) // to).astype(np.int16)
 
 
+def pack_pcm(samples: np.ndarray) -> bytes:
+    """Samples without loss in a form that compresses well: those at even places, then how far each other one is from
+    the mean of its neighbours (modulo 2^16; the last one's right neighbour is its left one)."""
+    x = samples.astype(np.int32)
+    even = x[0::2]
+    mean = (even + np.append(even[1:], even[-1:])) >> 1
+    return np.concatenate([even, x[1::2] - mean[: len(x) // 2]]).astype("<u2").tobytes()
+
+
+def unpack_pcm(packed: bytes) -> np.ndarray:
+    """The int16 samples of ``pack_pcm``."""
+    raw = np.frombuffer(packed, "<u2")
+    even = raw[: (len(raw) + 1) // 2].astype(np.int16).astype(np.int32)
+    mean = (even + np.append(even[1:], even[-1:])) >> 1
+    out = np.empty(len(raw), np.int16)
+    out[0::2] = even
+    out[1::2] = (raw[len(even) :].astype(np.int32) + mean[: len(raw) - len(even)]).astype(np.uint16).astype(np.int16)
+    return out
+
+
 def store_text(df: DataFrame, text_col: str = "text", codec: str = "mulaw") -> DataFrame:
     """Adds ``media`` binary: each whole text (null: empty) as telephony samples of a WAVE file.
 
     The payload is the text's UTF-8 with zero bytes up to a positive multiple of 64, stored unchanged as coded
-    samples (mu-law or A-law: a byte a sample; ima: blocks of 64 bytes); n_bytes is the unpadded length.
+    samples (mu-law or A-law: a byte a sample; ima: blocks of 64 bytes); n_bytes is the unpadded length. Added columns
+    replace those of the same name; repeated rows are stored each; an empty table gives an empty table.
     """
     prepare(df.sparkSession)
-    at = df.columns.index(text_col)
+    at = position(df, text_col)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         raw = [(t or "").encode("utf-8", "replace") for t in batch.column(at).to_pylist()]
@@ -170,38 +220,39 @@ def store_text(df: DataFrame, text_col: str = "text", codec: str = "mulaw") -> D
     return add_columns(df, [T.StructField("n_bytes", T.LongType(), False), T.StructField("media", T.BinaryType(), False)], run)
 
 
-def pcm(df: DataFrame, media_col: str = "media", rate: int = 16000) -> DataFrame:
+def pcm(df: DataFrame, media_col: str = "media", rate: int = 16000, packed: bool = False) -> DataFrame:
     """Adds ``pcm`` binary: little-endian 16-bit samples at `rate`, decoded from any codec of WAVE blobs.
 
-    A null blob, and one that is not a readable WAVE file, give null; repeated rows are decoded each.
+    packed: as ``pack_pcm`` stores them. A null blob, and one that is not a readable WAVE file, give null; a column pcm is
+    replaced; repeated rows are decoded each; an empty table gives an empty table. All ADPCM blocks of up to 64 blobs
+    are decoded together.
     """
     prepare(df.sparkSession)
-    at = df.columns.index(media_col)
-
-    def one(blob: bytes | None) -> bytes | None:
-        if blob is None:
-            return None
-        try:
-            own, samples = decode(blob)
-        except (ValueError, struct.error):
-            return None
-        return resample(samples, own, rate).astype("<i2").tobytes()
+    at = position(df, media_col)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array([one(b) for b in batch.column(at).to_pylist()], pa.binary())]
+        blobs, out = batch.column(at).to_pylist(), []
+        for lo in range(0, len(blobs), 64):
+            for found in decode_all(blobs[lo : lo + 64]):
+                made = None if found is None else resample(found[1], found[0], rate)
+                out.append(None if made is None else pack_pcm(made) if packed else made.astype("<i2").tobytes())
+        return [pa.array(out, pa.binary())]
 
     return add_columns(df, [T.StructField("pcm", T.BinaryType(), True)], run)
 
 
-def read_back(df: DataFrame, media_col: str = "media", rate: int = 16000, pcm_col: str | None = None) -> DataFrame:
-    """Digests and features from stored bytes: payload_*, tail_crc32, media_*, feature (null media: null values).
+def read_back(df: DataFrame, media_col: str = "media", rate: int = 16000, pcm_col: str | None = None, packed: bool = False) -> DataFrame:
+    """Digests and features from stored bytes: payload_*, tail_crc32, media_*, feature.
+
+    Null media, and media that are no readable WAVE file, give null values; added columns replace those of the same name;
+    repeated rows are read each; an empty table gives an empty table.
 
     feature: rms, peak and sign changes of the resampled PCM, and the rms of the same bytes read as A-law and,
     in blocks of 64, as ADPCM; ADPCM blocks of a batch are decoded together. pcm_col: the resampled PCM as it was stored
-    (see pcm), instead of resampling here.
+    (see pcm, packed or not), instead of resampling here.
     """
     prepare(df.sparkSession)
-    at, ready = df.columns.index(media_col), None if pcm_col is None else df.columns.index(pcm_col)
+    at, ready = position(df, media_col), None if pcm_col is None else position(df, pcm_col)
     kinds = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()),
              ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
 
@@ -215,7 +266,7 @@ def read_back(df: DataFrame, media_col: str = "media", rate: int = 16000, pcm_co
         pcms = [None] * len(blobs) if ready is None else batch.column(ready).to_pylist()
         for lo in range(0, len(blobs), 64):
             group = blobs[lo : lo + 64]
-            parsed = [None if b is None else unwave(b) for b in group]
+            parsed = [parse(b) for b in group]
             blocks = [np.frombuffer(p[3], np.uint8)[: len(p[3]) // UNIT * UNIT].reshape(-1, UNIT) if p else np.empty((0, UNIT), np.uint8) for p in parsed]
             adpcm = decode_ima(np.concatenate(blocks)) if blocks else np.empty((0, 121), np.int16)
             start = 0
@@ -226,8 +277,9 @@ def read_back(df: DataFrame, media_col: str = "media", rate: int = 16000, pcm_co
                 data = p[3]
                 if made is None:
                     own, samples = decode(blob)
-                    made = resample(samples, own, rate).astype("<i2").tobytes()
-                out = np.frombuffer(made, "<i2")
+                    out = resample(samples, own, rate)
+                else:
+                    out = unpack_pcm(made) if packed else np.frombuffer(made, "<i2")
                 signs = int(np.count_nonzero((out[1:] < 0) != (out[:-1] < 0)))
                 peak = int(np.abs(out.astype(np.int32)).max(initial=0))
                 third = rms(adpcm[start : start + len(mine)].reshape(-1))

@@ -96,14 +96,31 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), words=4)
 
 
-def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from nearframe.llm import media
+#: Compressed pages of the media table: the level, and pages long enough for texts to repeat within them.
+MEDIA_TABLE = {"parquet.compression.codec.zstd.level": "6", "parquet.page.size": str(4 << 20)}
+
 
+def _media(spark: SparkSession, sf_dir: str, codec: str) -> DataFrame:
+    """Texts as a column of one codec, written with its resampled PCM as a table; digests come from that table."""
+    from nearframe.llm import media
     from nearframe.llm.common import Scratch
 
-    stored = media.store_text(_table(spark, sf_dir, "documents", "doc_id", "text"), codec="mulaw").drop("text")
-    kept = Scratch(spark, "media").write(media.pcm(stored, rate=16000), "media", "zstd")  # the digests come from the table
-    return media.read_back(kept, pcm_col="pcm").drop("media", "pcm").withColumn("doc_id", F.col("doc_id").cast("long"))
+    stored = media.store_text(_table(spark, sf_dir, "documents", "doc_id", "text"), codec=codec).drop("text")
+    made = media.pcm(stored, rate=16000, packed=True)
+    kept = Scratch(spark, "media").write(made, "media", "zstd", **MEDIA_TABLE)
+    return media.read_back(kept, pcm_col="pcm", packed=True).drop("media", "pcm").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _media(spark, sf_dir, "mulaw")
+
+
+def op6_media_alaw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _media(spark, sf_dir, "alaw")
+
+
+def op6_media_adpcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _media(spark, sf_dir, "ima")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,6 +233,8 @@ def queries() -> dict:
         "op4_packing": op4_packing,
         "op5_near_duplicates": op5_near_duplicates,
         "op6_media": op6_media,
+        "op6_media_alaw": op6_media_alaw,
+        "op6_media_adpcm": op6_media_adpcm,
         "op7_fingerprints": op7_fingerprints,
         "op8_suffix": op8_suffix,
         "op9_chat": op9_chat,

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -158,6 +159,37 @@ def test_media_table(spark, odd):
     assert media.store_text(odd.where("doc_id < 0")).count() == 0
 
 
+def test_media_of_odd_blobs(spark):
+    """No WAVE file, a cut one, block size 0, rate 0, a short format: null values by both readers, no error."""
+    good = media.wave(bytes(range(64)), "ima", block=64)
+    odd = [b"", b"junk", good[:50], good[:32] + b"\0\0" + good[34:], good[:24] + b"\0\0\0\0" + good[28:], b"RIFF\4\0\0\0WAVEfmt \2\0\0\0\1\0data\0\0\0\0", None, good]
+    df = spark.createDataFrame([(k, b) for k, b in enumerate(odd)], "doc_id long, MEDIA binary")
+    made = {r["doc_id"]: r["pcm"] for r in media.pcm(df, "media", 8000).collect()}
+    back = {r["doc_id"]: r["feature"] for r in media.read_back(df).collect()}
+    assert [k for k in made if made[k] is not None] == [k for k in back if back[k] is not None] == [len(odd) - 1]
+    assert bytes(made[len(odd) - 1]) == media.decode_ima(np.frombuffer(bytes(range(64)), np.uint8).reshape(1, 64)).astype("<i2").tobytes()
+
+
+def test_pcm_is_packed_without_loss_and_feature_recomputed(spark, odd):
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 3, 501):
+        x = rng.integers(-32768, 32768, n).astype(np.int16)
+        assert np.array_equal(media.unpack_pcm(media.pack_pcm(x)), x)
+    for codec in ("mulaw", "alaw", "ima"):
+        stored = media.store_text(odd, codec=codec)
+        rows = media.read_back(media.pcm(stored, packed=True), pcm_col="pcm", packed=True).collect()
+        assert sorted(r["feature"] for r in rows) == sorted(r["feature"] for r in media.read_back(stored).collect())
+        for r in rows:  # plain loops over what the header says
+            raw = (r["text"] or "").encode()
+            raw += b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+            if codec == "ima":
+                continue
+            low = [int((media.MULAW if codec == "mulaw" else media.ALAW)[b]) for b in raw]
+            up = [v for a, b in zip(low, [*low[1:], low[-1]], strict=True) for v in (a, (a + b) >> 1)]
+            want = f"{codec};n={len(up)};ms={sum(v * v for v in up) // len(up)};peak={max(map(abs, up))};zc={sum((a < 0) != (b < 0) for a, b in zip(up, up[1:]))};"
+            assert r["feature"].startswith(want)
+
+
 def test_window_argmin_and_hashes():
     rng = np.random.default_rng(0)
     for n, w in ((1, 3), (3, 3), (50, 7), (200, 64), (64, 1)):
@@ -208,11 +240,20 @@ def test_compared_with_next(spark, real, odd):
     assert base64.b64decode(rows[0]["fingerprint"].split(":")[1]) is not None if rows else True
 
 
-def test_next_with_null_and_repeated_ids(spark):
-    df = spark.createDataFrame([(None, "n"), (5, "b" * 8), (5, "a" * 8), (9, "c" * 8)], DOCS)
-    got = {(r["doc_id"], r["edited_sha256"]) for r in fingerprint.compare_with_next(df).collect()}
-    want = {(None, "n"), (5, "a" * 6 + "bb"), (5, "b" * 6 + "cc"), (9, "c" * 6 + "n")}
-    assert got == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in want}
+def by_hash(df):
+    """(id, text) in order: null ids first, rows of one id by a hash of the text."""
+    return [(r["doc_id"], r["text"] or "") for r in df.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.asc_nulls_first("doc_id"), "h").collect()]
+
+
+@pytest.mark.parametrize("many", [1, 400])
+def test_next_with_null_and_repeated_ids(spark, many):
+    """Also ids and rows that make up most of the table, and ids at the ends of their range."""
+    rows = [(None, "n"), (5, "b" * 8), (5, "a" * 8), (9, "c" * 8), (2**63 - 1, "z" * 9), (-(2**63), "y" * 9)]
+    rows += [(7, f"t{k} {'x' * k}") for k in range(many)] + [(8, "same text")] * many + [(None, f"null {k}") for k in range(many)]
+    df = spark.createDataFrame(rows, DOCS)
+    docs = by_hash(df)
+    want = sorted((str(i), hashlib.sha256((t[: len(t) - len(t) // 4] + docs[(k + 1) % len(docs)][1][: len(t) // 4]).encode()).hexdigest()) for k, (i, t) in enumerate(docs))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in fingerprint.compare_with_next(df).collect()) == want
 
 
 def test_licences(spark):
