@@ -1,10 +1,10 @@
 """Best-fit packing of token sequences by exact complements.
 
-Only the histogram of piece lengths (at most ``capacity`` rows, whatever the data) is planned on the driver:
-``plan`` indexes the sums of one, two and three available lengths, and for the longest open length consumes,
-as often as the counts allow, a combination that fills its gap exactly; what has no complement is filled
-best fit.  The plan is a list of segments ``(length, first ordinal, sequence, offset, per sequence)``; each
-pattern exhausts at least one length, so there are at most ``capacity`` patterns a pass.  Pieces find
+Only the histogram of piece lengths (at most ``capacity`` rows, whatever the data) is planned on the driver.
+``Sums`` indexes the sums of one, two and three available lengths by their value.  For the longest open length,
+``plan`` looks up its gap there and consumes, as often as the counts allow, a combination that fills it exactly; what
+has no complement is filled best fit.  The plan is a list of segments ``(length, first ordinal, sequence, offset, per
+sequence)``; each pattern exhausts at least one length, so there are at most ``capacity`` patterns a pass.  Pieces find
 their place by their ordinal among the pieces of their length, which is numbered per task and then offset by
 running counts, so no length, however common, meets in one task.
 """
@@ -27,26 +27,58 @@ from nearframe.llm.common import Scratch, prepare
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, ordinal long"
 
 
-def complement(gap: int, left: np.ndarray) -> list[int] | None:
-    """Lengths that sum to gap: one, two or three of those with left > 0, the longest first."""
-    if left[gap]:
-        return [gap]
-    a = np.arange(1, gap)
-    pair_ok = (left[a] > 0) & (left[gap - a] > 0) & ((2 * a != gap) | (left[a] > 1))
-    if pair_ok.any():
-        x = int(a[pair_ok].max())
-        return [x, gap - x]
-    open_ = np.flatnonzero(left[1:gap] > 0) + 1
-    for x in open_[::-1].tolist():
-        rest = gap - x
-        b = np.arange(1, (rest // 2) + 1)
-        need_b = 1 + (b == x).astype(int) + (rest - b == b).astype(int)
-        need_c = 1 + (rest - b == x).astype(int) + (rest - b == b).astype(int)
-        ok = (left[b] >= need_b) & (left[rest - b] >= need_c)
-        if ok.any():
-            y = int(b[ok].max())
-            return [x, y, rest - y]
-    return None
+class Sums:
+    """Combinations of one, two and three lengths by their sum, for lengths with a count above 0.
+
+    ``pairs[s]``: the longer length of each pair of sum s, ascending; ``triples[s]``: the longest length of triples of
+    sum s, ascending.  Lengths only ever run out, so entries of those that have are passed over and dropped.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.capacity = len(left) - 1
+        open_ = np.flatnonzero(left[1:] > 0) + 1
+        total = open_[:, None] + open_[None, :]
+        a, b = np.nonzero((total <= self.capacity) & (open_[:, None] >= open_[None, :]))
+        self.pairs = self._by_sum(total[a, b], open_[a])
+        # a triple of longest length x: a pair of the rest whose longer length is at most x
+        least = np.array([p[0] if p else self.capacity + 1 for p in self.pairs])
+        rest = np.arange(self.capacity + 1)
+        total = open_[:, None] + rest[None, :]
+        a, r = np.nonzero((total <= self.capacity) & (least[None, :] <= open_[:, None]))
+        self.triples = self._by_sum(total[a, r], open_[a])
+
+    def _by_sum(self, total: np.ndarray, longest: np.ndarray) -> list[list[int]]:
+        order = np.lexsort((longest, total))
+        cuts = np.searchsorted(total[order], np.arange(self.capacity + 2))
+        values = longest[order].tolist()
+        return [values[s:e] for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def find(self, gap: int, left: np.ndarray) -> list[int] | None:
+        """Available lengths that sum to gap: one, two or three; the longest first, of triples then the most even pair."""
+        if left[gap]:
+            return [gap]
+        pairs = self.pairs[gap]
+        for k in range(len(pairs) - 1, -1, -1):
+            x = pairs[k]
+            if left[x] and left[gap - x] > (2 * x == gap):
+                return [x, gap - x]
+        triples = self.triples[gap]
+        for k in range(len(triples) - 1, -1, -1):
+            x = triples[k]
+            if not left[x]:
+                continue
+            left[x] -= 1
+            rest = gap - x
+            y = next((y for y in self.pairs[rest] if y <= x and left[y] and left[rest - y] > (2 * y == rest)), None)
+            left[x] += 1
+            if y is not None:
+                return [x, y, rest - y]
+        return None
+
+    def drop(self, left: np.ndarray) -> None:
+        """Forgets combinations of lengths that have run out."""
+        self.pairs = [[x for x in p if left[x] and left[s - x]] if p else p for s, p in enumerate(self.pairs)]
+        self.triples = [[x for x in p if left[x]] if p else p for p in self.triples]
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -56,12 +88,13 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
         left[size] = n
     used = np.zeros(capacity + 1, np.int64)
     out, sequence = [], 0
+    sums, known = Sums(left), int((left > 0).sum())
     while (open_ := np.flatnonzero(left)).size:
         longest = int(open_[-1])
         left[longest] -= 1
         pattern, gap = [longest], capacity - longest
         while gap:
-            more = complement(gap, left)
+            more = sums.find(gap, left)
             if more is None:
                 fits = np.flatnonzero(left[: gap + 1])
                 if not fits.size:
@@ -82,6 +115,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
             left[x] -= n * times
             offset += n * x
         sequence += times
+        if (now := int((left > 0).sum())) < known // 2:
+            sums.drop(left)
+            known = now
     return out
 
 
@@ -142,7 +178,8 @@ def pack(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col
 
     Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  A null or empty text is
     one piece with end_id alone; repeated rows are packed each; null ids stay null; an empty table gives an
-    empty table; other columns are not carried.
+    empty table; other columns are not carried. The table of running counts has a row for each task and length; it is joined
+    as Spark sees fit, and broadcast only while it is below spark.sql.autoBroadcastJoinThreshold.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "pack")

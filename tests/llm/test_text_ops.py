@@ -4,6 +4,7 @@ import base64
 import hashlib
 import struct
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -88,14 +89,34 @@ def test_plan_places_every_piece_once(counts):
 def test_complements():
     left = np.zeros(101, np.int64)
     left[[10, 20, 30]] = 1
-    assert packing.complement(30, left) == [30]
-    assert packing.complement(50, left) == [30, 20]
-    assert sorted(packing.complement(60, left)) == [10, 20, 30]
-    assert packing.complement(20, left) == [20]
+    sums = packing.Sums(left)
+    assert sums.find(30, left) == [30]
+    assert sums.find(50, left) == [30, 20]
+    assert sorted(sums.find(60, left)) == [10, 20, 30]
+    assert sums.find(20, left) == [20]
     left[20] = 0
-    assert packing.complement(20, left) is None  # 10 is there once only
+    assert sums.find(20, left) is None  # 10 is there once only
     left[10] = 2
-    assert packing.complement(20, left) == [10, 10]
+    assert sums.find(20, left) == [10, 10]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 4), min_size=1, max_size=12), st.integers(1, 40), st.sets(st.integers(1, 40)))
+def test_index_of_sums_is_complete(counts, gap, gone):
+    """A combination is found iff trying all of them finds one, also when lengths have run out since."""
+    left = np.zeros(41, np.int64)
+    for size, n in counts.items():
+        left[size] = n
+    sums = packing.Sums(left)
+    for size in gone:
+        left[size] = 0
+    sums.drop(left)
+    each = [s for s, n in counts.items() for _ in range(n) if s not in gone]
+    exists = any(sum(c) == gap for k in (1, 2, 3) for c in combinations(each, k))
+    found = sums.find(gap, left)
+    assert (found is not None) == exists
+    if found:
+        assert sum(found) == gap and len(found) <= 3 and all(found.count(x) <= left[x] for x in found)
 
 
 def test_packing_table(spark, odd, real):
