@@ -5,17 +5,21 @@ leftmost of its ``KMER``-byte strings with the smallest hash.  So suffixes are s
 some 75 bytes), and only those whose anchor string stands elsewhere too:
 
 1. Every anchor has the run of window starts that chose it, and thus a context: the bytes of those windows.
-   Anchors of equal contexts are equal throughout, so they are counted, and one stands for them.
+   Anchors of equal contexts (128-bit digests of the bytes) are counted, and one stands for them.
 2. Different contexts of one anchor string are sorted twice, by the bytes from the anchor on and by those
    before it, backwards: multikey quicksort to ``SHALLOW`` bytes, then a blind trie for each group that is
    still tied.  A window t bytes before the anchor repeats iff another context lies with it in one interval
    of common prefix >= t on the left and >= min_len - t on the right.
-3. An anchor string with more than ``GROUP`` different contexts does not meet in one task: its windows are
-   counted by hash in a distributed aggregation instead, which gives the same answer.
+3. An anchor string with more than ``GROUP`` different contexts does not meet in one task: a distributed step sorts
+   further into the depth.  Windows with t in a..b need a common left of a bytes and a common right of min_len - b, so
+   contexts that share those bytes are a group; groups that are still too large halve their range of t, down to single
+   windows, which are equal throughout.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -170,7 +174,7 @@ def reach(left: list[bytes], right: list[bytes], min_len: int) -> list[tuple[int
 
 # -- anchors ------------------------------------------------------------------------------------------
 def anchors_of(raws: list[bytes], min_len: int) -> tuple[np.ndarray, ...]:
-    """text number, place, kmer hash, context hash, bytes before, bytes behind for all anchors of the texts."""
+    """text number, place, kmer hash, context digest in two halves, bytes before, bytes behind for all anchors of the texts."""
     pieces = [(i, s) for i, r in enumerate(raws) if len(r) >= min_len for s in range(0, len(r) - min_len + 1, CHUNK)]
     out = []
     lo = 0
@@ -196,18 +200,20 @@ def anchors_of(raws: list[bytes], min_len: int) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(anchor)) - 1
         a, p_lo, p_hi, piece = anchor[first], window[first], window[last], piece[first]
-        context = slice_hash(prefix, p_lo, p_hi + min_len)
+        whole = memoryview(data)
+        digests = b"".join([hashlib.blake2b(whole[x:y], digest_size=16).digest() for x, y in zip(p_lo.tolist(), (p_hi + min_len).tolist(), strict=True)])
+        context = np.frombuffer(digests, "<i8").reshape(-1, 2)
         source = np.array([i for i, _ in pieces[lo:hi]])[piece]
         place = a - begin[piece] + np.array([s for _, s in pieces[lo:hi]])[piece]
-        out.append((source, place, key[a].view(np.int64), context.view(np.int64), (a - p_lo).astype(np.int32), (p_hi + min_len - a).astype(np.int32)))
+        out.append((source, place, key[a].view(np.int64), context[:, 0], context[:, 1], (a - p_lo).astype(np.int32), (p_hi + min_len - a).astype(np.int32)))
         lo = hi
     if not out:
         z = np.empty(0, np.int64)
-        return z, z, z, z, z.astype(np.int32), z.astype(np.int32)
+        return z, z, z, z, z, z.astype(np.int32), z.astype(np.int32)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-ANCHOR = "k1 long, k2 long, pos long, kmer long, ctx long, before int, behind int"
+ANCHOR = "k1 long, k2 long, pos long, kmer long, ctx long, ctx2 long, before int, behind int"
 
 
 def _anchors(docs: DataFrame, min_len: int) -> DataFrame:
@@ -216,7 +222,7 @@ def _anchors(docs: DataFrame, min_len: int) -> DataFrame:
             raws = [(t or "").encode("utf-8", "replace") for t in b.column(2).to_pylist()]
             source, *cols = anchors_of(raws, min_len)
             k1, k2 = (np.asarray(b.column(i))[source] for i in (0, 1))
-            names = ["k1", "k2", "pos", "kmer", "ctx", "before", "behind"]
+            names = ["k1", "k2", "pos", "kmer", "ctx", "ctx2", "before", "behind"]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k1, k2, *cols)], names=names)
 
     return docs.select("k1", "k2", "text").mapInArrow(run, ANCHOR)
@@ -254,13 +260,14 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k1", "k2", "s", "e"])
 
 
-def _sorted_spans(contexts: DataFrame, min_len: int) -> DataFrame:
-    """Spans of contexts that occur once but share windows with another one; kmers stream through in order."""
+def _sorted_spans(contexts: DataFrame, key: list[str], min_len: int) -> DataFrame:
+    """Spans of contexts that occur once but share windows with another one; groups stream through in order of the key."""
+    width = len(key)
 
     def flush(group: list[tuple], out: list[tuple]) -> None:
         if len(group) > 1:
-            reached = reach([g[6] for g in group], [g[7] for g in group], min_len)
-            for (k1, k2, pos, _, n, *_), (far, near) in zip(group, reached, strict=True):
+            reached = reach([g[-2] for g in group], [g[-1] for g in group], min_len)
+            for (k1, k2, pos, n, _, _), (far, near) in zip((g[width:] for g in group), reached, strict=True):
                 if far >= 0 and n == 1:
                     out.append((k1, k2, pos - far, pos + near))
 
@@ -269,7 +276,7 @@ def _sorted_spans(contexts: DataFrame, min_len: int) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if group and group[-1][3] != row[3]:
+                if group and group[-1][:width] != row[:width]:
                     flush(group, out)
                     group = []
                 group.append(row)
@@ -278,30 +285,30 @@ def _sorted_spans(contexts: DataFrame, min_len: int) -> DataFrame:
         flush(group, out)
         yield _spans(out)
 
-    return contexts.repartition("kmer").sortWithinPartitions("kmer").mapInArrow(run, SPAN)
-
-
-def _counted_spans(contexts: DataFrame, min_len: int) -> DataFrame:
-    """The same for anchor strings of very many contexts: windows are counted by hash across tasks."""
-    names = ["k1", "k2", "pos", "n", "kmer", "t", "window"]
-
-    def run(batches):
-        for b in batches:
-            parts = []
-            for k1, k2, pos, kmer, n, _, left, right in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                data = np.frombuffer(left[::-1] + right, np.uint8)
-                start = np.arange(len(data) - min_len + 1)
-                h = slice_hash(prefix_hash(data), start, start + min_len).view(np.int64)
-                same = [np.full(len(h), x, np.int64) for x in (k1, k2, pos, n, kmer)]
-                parts.append((*same, len(left) - start, h))
-            cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=names)
-
-    windows = contexts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-    key = ["kmer", "t", "window"]
-    twice = windows.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1").select(*key)
-    hit = windows.where("n = 1").join(twice, key, "left_semi").groupBy("k1", "k2", "pos").agg(F.max("t").alias("far"), F.min("t").alias("low"))
-    return hit.select("k1", "k2", (F.col("pos") - F.col("far")).alias("s"), (F.col("pos") - F.col("low") + min_len).alias("e"))
+    return contexts.select(*key, "k1", "k2", "pos", "n", "left", "right").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, SPAN)
+
+
+def _split_spans(contexts: DataFrame, min_len: int, scratch: Scratch) -> DataFrame | None:
+    """The same for anchor strings of very many contexts: groups by the bytes that windows in a range of t need alike."""
+    key = ["kmer", "a", "b", "same"]
+    rows = contexts.select("kmer", F.lit(0).alias("a"), F.lit(min_len - KMER).alias("b"), "k1", "k2", "pos", "n", "left", "right")
+    out: DataFrame | None = None
+    while not rows.isEmpty():
+        middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("b")))
+        parts = rows.withColumn("half", F.explode(halves)).withColumns({"a": F.col("half.a"), "b": F.col("half.b")}).drop("half")
+        parts = parts.where((F.col("a") <= F.col("b")) & (F.length("left") >= F.col("a")) & (F.length("right") >= min_len - F.col("b")))
+        same = F.concat(F.expr("substring(left, 1, a)"), F.expr(f"substring(right, 1, {min_len} - b)"))
+        parts = scratch.write(parts.withColumn("same", same), "parts")
+        sizes = scratch.write(parts.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1"), "part-sizes")
+        met = scratch.write(parts.join(sizes, key), "split")
+        scratch.drop(parts, sizes)
+        window = met.where("a = b and n = 1").select("k1", "k2", (F.col("pos") - F.col("a")).alias("s"), (F.col("pos") - F.col("a") + min_len).alias("e"))
+        small = _sorted_spans(met.where((F.col("size") <= GROUP) & (F.col("a") < F.col("b"))), key, min_len)
+        found = window.union(small)
+        out = found if out is None else out.union(found)
+        rows = met.where((F.col("size") > GROUP) & (F.col("a") < F.col("b"))).drop("same", "size")
+    return out
 
 
 def repeated_spans(docs: DataFrame, min_len: int, scratch: Scratch) -> DataFrame:
@@ -311,7 +318,7 @@ def repeated_spans(docs: DataFrame, min_len: int, scratch: Scratch) -> DataFrame
     again = scratch.write(found.groupBy("kmer").agg(F.count("*").alias("c")).where("c > 1").select("kmer"), "kmers")
     some = scratch.write(found.join(again, "kmer", "left_semi"), "repeated")
     scratch.drop(found)
-    key = ["kmer", "ctx", "before", "behind"]
+    key = ["kmer", "ctx", "ctx2", "before", "behind"]
     groups = scratch.write(some.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("rep")), "contexts")
     whole = some.join(groups.where("n > 1").select(*key), key, "left_semi").select(
         "k1", "k2", (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + F.col("behind")).alias("e")
@@ -320,8 +327,9 @@ def repeated_spans(docs: DataFrame, min_len: int, scratch: Scratch) -> DataFrame
     several = scratch.write(several, "several")
     reps = groups.join(several, "kmer").select("rep.k1", "rep.k2", "rep.pos", "kmer", "n", "d", "before", "behind")
     contexts = scratch.write(_contexts(reps, docs), "bytes")
-    part = _sorted_spans(contexts.where(F.col("d") <= GROUP), min_len).union(_counted_spans(contexts.where(F.col("d") > GROUP), min_len))
-    return scratch.write(whole.union(part), "spans")
+    found = whole.union(_sorted_spans(contexts.where(F.col("d") <= GROUP), ["kmer"], min_len))
+    deep = _split_spans(contexts.where(F.col("d") > GROUP), min_len, scratch)
+    return scratch.write(found if deep is None else found.union(deep), "spans")
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", min_len: int = 200, id_col: str = "doc_id", as_text: bool = False) -> DataFrame:
