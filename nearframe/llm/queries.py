@@ -169,6 +169,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal runs themselves: a row for each, places counting lines that are not blank."""
+    from nearframe.llm import linededup
+
+    out = linededup.dedup_lines(_table(spark, sf_dir, "documents", "doc_id", "text"), min_lines=OP10_LINES, min_chars=OP10_CHARS)
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode("runs").alias("r")).select("doc_id", "r.start", "r.lines")
+
+
 OP10_SQL = f"""
 WITH raw AS (
   SELECT doc_id, line, lno FROM (
@@ -239,6 +247,7 @@ def queries() -> dict:
         "op8_suffix": op8_suffix,
         "op9_chat": op9_chat,
         "op10_line_dedup": op10_line_dedup,
+        "op10_line_runs": op10_line_runs,
     }
 
 

@@ -252,6 +252,34 @@ def test_line_runs(spark, m):
     assert got == brute_lines(rows, m, 40)
 
 
+def brute_runs(rows, m):
+    """Maximal runs that an earlier place begins too, by comparing every two places."""
+    seqs = [(d, [x for x in (t or "").split("\n") if x.strip(" \t\r")]) for d, t in sorted(rows, key=lambda r: r[0])]
+    longest = {}
+    for d, s in seqs:
+        for p in range(len(s)):
+            best = 0
+            for e, t in seqs:
+                for q in range(len(t)):
+                    if (e, q) < (d, p):
+                        k = 0
+                        while p + k < len(s) and q + k < len(t) and s[p + k] == t[q + k]:
+                            k += 1
+                        best = max(best, k)
+            longest[d, p] = best
+    return sorted((d, p, k) for (d, p), k in longest.items() if k >= m and longest.get((d, p - 1)) != k + 1)
+
+
+@pytest.mark.parametrize("m,size,pool", [(3, 30, 6), (2, 60, 3), (3, 25, 30)])
+def test_maximal_line_runs(spark, m, size, pool):
+    rng = random.Random(size)
+    rows = [(i, "\n".join(f"l{rng.randrange(pool)}" for _ in range(rng.randrange(size)))) for i in range(8)]
+    rows += [(8, rows[3][1] + "\nown\n" + rows[5][1]), (9, "same\n" * 40), (10, "\n".join(f"r{i % 5}" for i in range(37))), (11, None)]
+    out = linededup.dedup_lines(spark.createDataFrame(rows, DOCS), min_lines=m, min_chars=10_000)
+    assert sorted((r["doc_id"], x["start"], x["lines"]) for r in out.collect() for x in r["runs"]) == brute_runs(rows, m)
+    assert sorted((r["doc_id"], r["n_lines"], r["n_removed"], r["kept"]) for r in out.collect()) == brute_lines(rows, m, 10_000)
+
+
 def test_line_runs_edges(spark):
     t = "\n".join(f"a line that is long enough to count by itself {i}" for i in range(4))
     df = spark.createDataFrame([(2, t), (2, t), (None, t), (9, "x\n" + t)], DOCS)
