@@ -58,3 +58,13 @@ def bit_count(n: Column) -> Column:
 
 def spread_hash(*c: Column) -> Column:
     return F.xxhash64(*c)
+
+
+def swap_if(condition: Column, a: Column, b: Column) -> tuple[Column, Column]:
+    """(b, a) where the condition holds, else (a, b); a null condition does not hold."""
+    return F.when(condition, b).otherwise(a), F.when(condition, a).otherwise(b)
+
+
+def assign_if(condition: Column, old: Column, new: Column) -> Column:
+    """new where the condition holds, else old."""
+    return F.when(condition, new).otherwise(old)

@@ -32,6 +32,26 @@ def block_read(df: DataFrame, key: str, first: int, blocks: int, block: int) ->
     return df.where((F.col(key) >= first * block) & (F.col(key) < (first + blocks) * block))
 
 
+def block_pick(df: DataFrame, key: str, wanted: DataFrame, block: int) -> DataFrame:
+    """Rows of the blocks (column block) of `block` keys that are wanted, in any order; a block wanted twice counts once."""
+    return df.withColumn("block", F.floor(F.col(key) / block).cast("long")).join(wanted.select("block").distinct(), "block", "left_semi")
+
+
+def cache_hits(accesses: DataFrame, order: str, page: str, slots: int) -> DataFrame:
+    """Adds ``hit``: whether a direct-mapped cache of so many slots holds the page when it is accessed, in order.
+
+    A slot holds the page last accessed among those that share it, so each slot is a sequence of its own.
+    """
+    w = Window.partitionBy("__slot").orderBy(order)
+    held = accesses.withColumn("__slot", F.pmod(F.col(page), F.lit(slots)))
+    return held.withColumn("hit", F.coalesce(F.lag(page).over(w) == F.col(page), F.lit(False))).drop("__slot")
+
+
+def metric_averages(log: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Average of each metric over the rows of a log that agree in the keys; null measurements don't count."""
+    return log.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in metrics])
+
+
 def upsert(base: DataFrame, changes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """base with the latest change of each key: larger `order` wins, a change wins over base on ties."""
     both = base.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)))

@@ -107,6 +107,57 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", exclude
     return top_k(scored, k)
 
 
+def _sent(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a query set; ValueError beyond BROADCAST_BYTES."""
+    size = queries.agg(F.sum(F.size("v") * 8 + 8)).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        raise ValueError("the query set is too large to send to every task: search it in parts")
+    rows = queries.collect()
+    return np.array([r["q"] for r in rows], np.int64), _matrix([r["v"] for r in rows])
+
+
+def _scanned(queries: DataFrame, base: DataFrame, schema: str, fn) -> DataFrame:
+    """fn(query ids, query vectors, base ids, base vectors) of each batch of the base, as rows of the schema."""
+    queries = queries.select(F.col("q").cast("long").alias("q"), vec("v").alias("v")).where("v is not null and q is not null")
+    base = base.select(F.col("id").cast("long").alias("id"), vec("v").alias("v")).where("v is not null and id is not null")
+    shared = base.sparkSession.sparkContext.broadcast(_sent(queries))
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def run(batches):
+        q, qv = shared.value
+        for b in batches:
+            if b.num_rows and len(q):
+                ids = np.asarray(b.column(0))
+                found = fn(q, qv, ids, np.asarray(b.column(1).flatten()).reshape(len(ids), -1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
+
+    return base.mapInArrow(run, schema)
+
+
+def within(queries: DataFrame, base: DataFrame, radius: float, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
+    """(q, id, dist) of all pairs at a distance of at most radius; the others are dropped where they are computed."""
+
+    def near(q, qv, ids, v):
+        d = distances(metric, qv, v)
+        i, j = np.nonzero((d <= radius) & ((q[:, None] != ids[None, :]) | (not exclude_self)))
+        return q[i], ids[j], d[i, j]
+
+    return _scanned(queries, base, SCHEMA, near)
+
+
+def distance_stats(queries: DataFrame, base: DataFrame, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
+    """(q, n, nearest, farthest) over all distances of each query; a task passes on one row a query and batch."""
+
+    def sums(q, qv, ids, v):
+        d = distances(metric, qv, v)
+        use = (q[:, None] != ids[None, :]) | (not exclude_self)
+        some = use.any(axis=1)
+        return q[some], use.sum(axis=1)[some], np.where(use, d, np.inf).min(axis=1)[some], np.where(use, d, -np.inf).max(axis=1)[some]
+
+    rows = _scanned(queries, base, "q long, n long, nearest double, farthest double", sums)
+    return rows.groupBy("q").agg(F.sum("n").alias("n"), F.min("nearest").alias("nearest"), F.max("farthest").alias("farthest"))
+
+
 def _grid(queries: DataFrame, base: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
     """Blocks of queries against blocks of the base; each group keeps its own k best."""
     nq, nb = (max(1, -(-df.count() // BLOCK)) for df in (queries, base))

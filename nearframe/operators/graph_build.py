@@ -5,11 +5,13 @@ Edges are rows (src, dst, rank[, dist]); rank is 0-based. A missing neighbour is
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearframe.operators.exact import knn
-from nearframe.operators.quantize import assign
+from nearframe.operators.exact import best, knn
+from nearframe.operators.quantize import assign, probe
 from nearframe.sources.staging import stage
 
 
@@ -19,14 +21,35 @@ def knn_graph(rows: DataFrame, degree: int, metric: str = "l2") -> DataFrame:
     return found.select(F.col("q").alias("src"), F.col("id").alias("dst"), (F.col("rank") - 1).alias("rank"), "dist")
 
 
-def subgraph(rows: DataFrame, centres: DataFrame, degree: int, metric: str = "l2") -> DataFrame:
-    """Edges within cells only: each vector's nearest others of its own cell, by an equi-join on the cell."""
-    from nearframe.functions.distance import distance
+#: Members of a cell that meet in one group.
+CELL_BLOCK = 4096
 
-    cells = assign(rows, centres, metric).select("id", "v", "cell")
-    met = cells.select(F.col("id").alias("src"), F.col("v").alias("sv"), "cell").join(cells, "cell").where("src <> id")
+
+def subgraph(rows: DataFrame, centres: DataFrame, degree: int, metric: str = "l2", probes: int = 1) -> DataFrame:
+    """Edges (src, dst, dist, rank) within cells only: each vector's nearest others among those of its own cell.
+
+    probes: a vector also looks for neighbours in the next nearest cells, the more the nearer the graph comes to the exact
+    one. A cell is cut into blocks of about CELL_BLOCK members, every block of askers meets every block of members in a
+    group, and a group passes on `degree` rows a vector; all pairs of a cell are never rows.
+    """
+    asks = probe(rows.select(F.col("id").alias("q"), "v"), centres, probes, metric).select("cell", F.col("q").alias("id"), "v")
+    has = assign(rows.select("id", "v"), centres, metric).select("cell", "id", "v")
+    blocks = stage(has.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(CELL_BLOCK)).alias("nb")).join(asks.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(CELL_BLOCK)).alias("nq")), "cell"))
+
+    def dealt(side: DataFrame, own: str, other: str, mine: str, theirs: str, asker: bool) -> DataFrame:
+        met = side.join(blocks, "cell").withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own))).withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        return met.select("cell", "i", "j", F.lit(asker).alias("asks"), "id", "v")
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine, other = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        if not len(mine) or not len(other):
+            return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
+        found = best(metric, mine["id"].to_numpy(), np.stack(mine["v"].to_list()), other["id"].to_numpy(), np.stack(other["v"].to_list()), degree, True)
+        return pd.DataFrame(dict(zip(("src", "dst", "dist"), found, strict=True)))
+
+    both = dealt(asks, "nq", "nb", "i", "j", True).union(dealt(has, "nb", "nq", "j", "i", False))
+    scored = both.groupBy("cell", "i", "j").applyInPandas(group, "src long, dst long, dist double")
     w = Window.partitionBy("src").orderBy("dist", "dst")
-    scored = met.select("src", F.col("id").alias("dst"), distance(metric, F.col("sv"), F.col("v")).alias("dist"))
     return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < degree)
 
 
@@ -57,6 +80,15 @@ def prune(counted: DataFrame, degree: int) -> DataFrame:
     return counted.withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < degree).select("src", "dst", "slot", "cnt")
 
 
+def select_neighbours(knn_edges: DataFrame, degree: int, how: str = "heuristic") -> DataFrame:
+    """(src, dst, slot): the nearest `degree` ("simple"), or those of fewest detours ("heuristic")."""
+    if how == "simple":
+        return knn_edges.where(F.col("rank") < degree).select("src", "dst", F.col("rank").alias("slot"))
+    if how == "heuristic":
+        return prune(detour_counts(knn_edges), degree).select("src", "dst", "slot")
+    raise ValueError("how must be simple or heuristic")
+
+
 def reverse_edges(pruned: DataFrame, degree: int) -> DataFrame:
     """(node, pred, slot, cnt): edges x->y without y->x, turned round; half the degree of fewest detours a node.
 
@@ -77,10 +109,14 @@ def merged(pruned: DataFrame, reverse: DataFrame, degree: int) -> DataFrame:
     return back.union(ahead.where(F.col("slot") < degree))
 
 
-def build(rows: DataFrame, candidates: int, degree: int, metric: str = "l2", staged: bool = True) -> DataFrame:
-    """The pruned and merged graph (src, slot, dst) of vectors (id, v); k-NN edges are computed once."""
+def build(rows: DataFrame, candidates: int, degree: int, metric: str = "l2", staged: bool = True, centres: DataFrame | None = None, probes: int = 4) -> DataFrame:
+    """The pruned and merged graph (src, slot, dst) of vectors (id, v); k-NN edges are computed once.
+
+    Without centres the k-NN edges are exact, at the cost of all pairs by blocks; with centres each vector looks in the
+    `probes` nearest cells only, which is how to build graphs of very many vectors.
+    """
     keep = stage if staged else (lambda df: df)
-    edges = keep(knn_graph(rows, candidates, metric))
+    edges = keep(knn_graph(rows, candidates, metric) if centres is None else subgraph(rows, centres, candidates, metric, probes))
     pruned = keep(prune(detour_counts(edges), degree))
     return merged(pruned, reverse_edges(pruned, degree), degree)
 

@@ -66,8 +66,9 @@ def hops(queries: DataFrame, base: DataFrame, graph: DataFrame, k: int, beam: in
 
 
 def graph_bytes(base: DataFrame, graph: DataFrame) -> int:
+    """Bytes of the arrays that ``in_memory`` sends: vectors, ids, places, and one number an edge (two while they are made)."""
     vectors = base.agg(F.sum(F.size("v") * 8 + 16)).first()[0] or 0
-    return vectors + 8 * graph.count()
+    return vectors + 16 * graph.count()
 
 
 def in_memory(queries: DataFrame, base: DataFrame, graph: DataFrame, k: int, beam: int, width: int, metric: str = "l2", max_hops: int = 1 << 30) -> DataFrame:
@@ -77,33 +78,40 @@ def in_memory(queries: DataFrame, base: DataFrame, graph: DataFrame, k: int, bea
     spark = base.sparkSession
     rows = base.select("id", "v").orderBy("id").collect()
     ids = np.array([r["id"] for r in rows], np.int64)
-    place = {int(i): n for n, i in enumerate(ids)}
-    near: dict[int, list[int]] = {}
-    for r in graph.select("src", "dst").collect():
-        if r["src"] in place and r["dst"] in place:
-            near.setdefault(place[r["src"]], []).append(place[r["dst"]])
-    shared = spark.sparkContext.broadcast((ids, np.array([r["v"] for r in rows], np.float64), near, place))
+    pairs = graph.select("src", "dst").toArrow()
+    src, dst = (np.asarray(pairs.column(c).combine_chunks(), np.int64) for c in (0, 1))
+    known = np.isin(src, ids) & np.isin(dst, ids)
+    src, dst = np.searchsorted(ids, src[known]), np.searchsorted(ids, dst[known])
+    order = np.argsort(src, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(ids)))])  # neighbours of i: dst[first[i]:first[i + 1]]
+    shared = spark.sparkContext.broadcast((ids, np.array([r["v"] for r in rows], np.float64), first, dst[order]))
+    held = max(k, beam)
 
     def one(q: np.ndarray, entry: int) -> tuple[list[tuple[float, int]], int, int]:
-        ids_, v, near_, place_ = shared.value
-        if entry not in place_:
+        ids_, v, first_, near = shared.value
+        at = int(np.searchsorted(ids_, entry))
+        if at == len(ids_) or ids_[at] != entry:
             return [], 0, 0
-        at = place_[entry]
-        seen = {at: float(distances(metric, q[None, :], v[at : at + 1])[0, 0])}
-        expanded: set[int] = set()
+        seen = np.zeros(len(ids_), bool)
+        seen[at] = True
+        # the `held` nearest seen, in order of (distance, id); what falls out can't come back
+        best, dist, done = np.array([at]), distances(metric, q[None, :], v[at : at + 1])[0], np.zeros(1, bool)
         n_hops = 0
         while n_hops < max_hops:
-            listed = sorted((d, ids_[i], i) for i, d in seen.items())[:beam]
-            open_ = [i for _, _, i in listed if i not in expanded][:width]
-            if not open_:
+            open_ = np.flatnonzero(~done[:beam])[:width]
+            if not len(open_):
                 break
             n_hops += 1
-            expanded.update(open_)
-            fresh = sorted({j for i in open_ for j in near_.get(i, []) if j not in seen})
-            if fresh:
-                for j, d in zip(fresh, distances(metric, q[None, :], v[fresh])[0].tolist(), strict=True):
-                    seen[j] = d
-        return sorted((d, int(ids_[i])) for i, d in seen.items())[:k], n_hops, len(seen)
+            done[open_] = True
+            fresh = np.unique(np.concatenate([near[first_[i] : first_[i + 1]] for i in best[open_]]))
+            fresh = fresh[~seen[fresh]]
+            if len(fresh):
+                seen[fresh] = True
+                best, dist = np.concatenate([best, fresh]), np.concatenate([dist, distances(metric, q[None, :], v[fresh])[0]])
+                done = np.concatenate([done, np.zeros(len(fresh), bool)])
+                keep = np.lexsort((best, dist))[:held]  # places are in order of ids
+                best, dist, done = best[keep], dist[keep], done[keep]
+        return list(zip(dist[:k].tolist(), ids_[best[:k]].tolist(), strict=True)), n_hops, int(seen.sum())
 
     def run(batches):
         for b in batches:

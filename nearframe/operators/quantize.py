@@ -1,20 +1,22 @@
 """Coarse and product quantisation: inverted lists, two-layer residual index, product codes.
 
-Codebooks are bounded by their parameters (``MOST_CENTRES``), not by the data.  They enter plans as one array
-through a scalar subquery, so assigning a vector moves no row.
+Codebooks are bounded by their parameters (``MOST_CENTRES``), not by the data: they are collected behind that check, go
+to every task once, and vectors are assigned a batch at a time in numpy, so no row moves.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from nearframe.functions.distance import argmin, bound, distance, l2_squared, minus, ranked, vec
-from nearframe.operators.exact import BROADCAST_BYTES, top_k
+from nearframe.functions.distance import distance, minus, vec
+from nearframe.operators.exact import BLOCK, BROADCAST_BYTES, distances, top_k
 from nearframe.sources.staging import stage
 
 MOST_CENTRES = 65_536
@@ -32,10 +34,56 @@ def as_array(centres: DataFrame) -> Column:
     return centres.agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("c")).scalar()
 
 
+def _collected(centres: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a codebook in order of id; ValueError beyond MOST_CENTRES."""
+    rows = centres.select("id", "v").orderBy("id").limit(MOST_CENTRES + 1).collect()
+    if len(rows) > MOST_CENTRES:
+        raise ValueError(f"at most {MOST_CENTRES} centres")
+    return np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64)
+
+
+def _append(df: DataFrame, fields: list[T.StructField], fn: Callable[[np.ndarray], list[pa.Array]], column: str = "v") -> DataFrame:
+    """df with fn of the matrix of its vectors (batch, dim) as further columns; null vectors give nulls."""
+    at, names = df.columns.index(column), [*df.columns, *(f.name for f in fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column(at)
+            there = np.flatnonzero(np.asarray(col.is_valid()))
+            if not len(there):
+                new = [pa.nulls(b.num_rows, t) for t in kinds]
+            else:
+                new = fn(np.asarray(col.flatten()).reshape(len(there), -1))
+                if len(there) < b.num_rows:
+                    place = np.full(b.num_rows, -1)
+                    place[there] = np.arange(len(there))
+                    take = pa.array(place, mask=place < 0)
+                    new = [x.take(take) for x in new]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    offsets = np.arange(0, rows.size + 1, max(1, rows.shape[1]), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
+
+
 def assign(rows: DataFrame, centres: DataFrame, metric: str = "l2", out: str = "cell") -> DataFrame:
-    """Adds the nearest centre's id and its distance (``<out>_dist``)."""
-    near = rows.withColumn("__c", as_array(centres)).withColumn("__n", argmin(F.col("v"), F.col("__c"), metric))
-    return near.withColumns({out: F.col("__n.id"), f"{out}_dist": F.col("__n.dist")}).drop("__n", "__c")
+    """Adds the nearest centre's id (lower id on ties) and its distance (``<out>_dist``)."""
+    shared = rows.sparkSession.sparkContext.broadcast(_collected(centres))
+
+    def near(v: np.ndarray) -> list[pa.Array]:
+        ids, c = shared.value
+        d = distances(metric, v, c)
+        at = d.argmin(axis=1)
+        return [pa.array(ids[at]), pa.array(d[np.arange(len(v)), at])]
+
+    rows = rows.drop(out, f"{out}_dist")
+    return _append(rows, [T.StructField(out, T.LongType()), T.StructField(f"{out}_dist", T.DoubleType())], near)
 
 
 def lloyd(rows: DataFrame, centres: DataFrame, metric: str = "l2") -> DataFrame:
@@ -46,10 +94,41 @@ def lloyd(rows: DataFrame, centres: DataFrame, metric: str = "l2") -> DataFrame:
     return centres.join(means, F.col("id") == F.col("cell"), "left").select("id", F.coalesce("mean", "v").alias("v"))
 
 
+def _nearest(queries: DataFrame, ids: np.ndarray, centres: np.ndarray, n: int, metric: str = "l2") -> DataFrame:
+    """(q, v, cell): the n nearest of the centres for each query, a row each."""
+    shared = queries.sparkSession.sparkContext.broadcast((ids, centres))
+
+    def near(v: np.ndarray) -> list[pa.Array]:
+        ids_, c = shared.value
+        take = np.argsort(distances(metric, v, c), axis=1, kind="stable")[:, :n]
+        return [_lists(ids_[take])]
+
+    found = _append(queries.select("q", "v"), [T.StructField("cells", T.ArrayType(T.LongType()))], near)
+    return found.select("q", "v", F.explode("cells").alias("cell"))
+
+
 def probe(queries: DataFrame, centres: DataFrame, nprobe: int, metric: str = "l2") -> DataFrame:
     """(q, v, cell): the nprobe nearest cells of each query."""
-    cells = F.slice(ranked(F.col("v"), F.col("__c"), metric), 1, nprobe)
-    return queries.withColumn("__c", as_array(centres)).withColumn("cells", cells).select("q", "v", F.explode(F.col("cells.id")).alias("cell"))
+    return _nearest(queries, *_collected(centres), nprobe, metric)
+
+
+def probes_for(sample: DataFrame, truth: DataFrame, lists: DataFrame, centres: DataFrame, target: float = 0.9, metric: str = "l2") -> int:
+    """The least nprobe at which a sample of queries (q, v) finds the share `target` of its true neighbours, truth (q, id).
+
+    A neighbour is found once its cell is probed, so one pass tells for every nprobe.
+    """
+    n = centres.count()
+    order = probe(sample, centres, n, metric).withColumn("one", F.lit(1))
+    c = centres.select("id", F.col("v").alias("cv"))
+    ranked = order.join(c, F.col("cell") == F.col("id")).withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(distance(metric, F.col("v"), F.col("cv")), "cell")))
+    need = truth.select("q", "id").join(lists.select("id", "cell"), "id").join(ranked.select("q", "cell", "nth"), ["q", "cell"])
+    by_probe = {r["nth"]: r["n"] for r in need.groupBy("nth").agg(F.count("*").alias("n")).collect()}  # a row a centre at most
+    total, found = sum(by_probe.values()), 0
+    for k in range(1, n + 1):
+        found += by_probe.get(k, 0)
+        if found >= target * total:
+            return k
+    return n
 
 
 def ivf_search(queries: DataFrame, lists: DataFrame, centres: DataFrame, k: int, nprobe: int, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
@@ -87,12 +166,14 @@ class IvfIndex:
 # -- two-layer residual quantisation -------------------------------------------------------------------
 def residuals(rows: DataFrame, coarse: DataFrame) -> DataFrame:
     """(id, c1, r): the nearest coarse centre of each vector and what is left of it."""
-    def split(n: Column) -> Column:
-        centre = F.filter("c", lambda x: x["id"] == n["id"])[0]["v"]
-        return F.struct(n["id"].alias("c1"), minus(F.col("v"), centre).alias("r"))
+    shared = rows.sparkSession.sparkContext.broadcast(_collected(coarse))
 
-    near = rows.withColumn("c", as_array(coarse)).withColumn("n", bound(argmin(F.col("v"), F.col("c")), split))
-    return near.select("id", "n.c1", "n.r")
+    def split(v: np.ndarray) -> list[pa.Array]:
+        ids, c = shared.value
+        at = distances("l2", v, c).argmin(axis=1)
+        return [pa.array(ids[at]), _lists(v - c[at])]
+
+    return _append(rows.select("id", "v"), [T.StructField("c1", T.LongType()), T.StructField("r", T.ArrayType(T.DoubleType()))], split).select("id", "c1", "r")
 
 
 def rvq_train(rows: DataFrame, n1: int, n2: int) -> tuple[DataFrame, DataFrame]:
@@ -105,14 +186,25 @@ def rvq_train(rows: DataFrame, n1: int, n2: int) -> tuple[DataFrame, DataFrame]:
 
 def rvq_assign(rows: DataFrame, coarse: DataFrame, fine: DataFrame) -> DataFrame:
     """(id, c1, c2, dist): nearest coarse centre, then the nearest fine centre of the residual."""
-    left = residuals(rows, coarse).withColumn("__c", as_array(fine)).withColumn("n", argmin(F.col("r"), F.col("__c")))
-    return left.select("id", "c1", F.col("n.id").alias("c2"), F.col("n.dist").alias("dist"))
+    near = assign(residuals(rows, coarse).withColumnRenamed("r", "v"), fine, out="c2")
+    return near.select("id", "c1", "c2", F.col("c2_dist").alias("dist"))
+
 
+def rvq_search(queries: DataFrame, rows: DataFrame, coarse: DataFrame, fine: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False, probes: int = 1) -> DataFrame:
+    """Exact search among the vectors of the `probes` entry clusters (c1, c2) nearest to the query.
 
-def rvq_search(queries: DataFrame, rows: DataFrame, coarse: DataFrame, fine: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
-    """Exact search among the vectors that share the query's (c1, c2) entry cluster."""
-    # assigned once: as join keys the nested expressions would be computed again in every inferred filter
-    entry = stage(rvq_assign(queries.select(F.col("q").alias("id"), "v"), coarse, fine)).select(F.col("id").alias("q"), "c1", "c2").join(queries, "q").withColumnRenamed("v", "qv")
+    An entry cluster's place is the sum of its two centres; with one probe it is the query's own cluster.
+    """
+    if probes == 1:
+        entry = stage(rvq_assign(queries.select(F.col("q").alias("id"), "v"), coarse, fine)).select(F.col("id").alias("q"), "c1", "c2").join(queries, "q").withColumnRenamed("v", "qv")
+    else:
+        (i1, v1), (i2, v2) = _collected(coarse), _collected(fine)
+        if len(i1) * len(i2) > MOST_CENTRES:
+            raise ValueError(f"at most {MOST_CENTRES} entry clusters")
+        places = (v1[:, None, :] + v2[None, :, :]).reshape(len(i1) * len(i2), -1)
+        names = queries.sparkSession.createDataFrame([(n, int(a), int(b)) for n, (a, b) in enumerate((a, b) for a in i1 for b in i2)], "cell long, c1 long, c2 long")
+        near = _nearest(queries, np.arange(len(places)), places, probes).withColumnRenamed("v", "qv")
+        entry = near.join(F.broadcast(names), "cell").drop("cell")  # MOST_CENTRES rows at most
     cells = stage(rvq_assign(rows, coarse, fine)).select("id", "c1", "c2").join(rows, "id")
     met = entry.join(cells, ["c1", "c2"])
     if exclude_self:
@@ -142,69 +234,94 @@ def pq_codebook(rows: DataFrame, codes: int, offsets: list[int]) -> DataFrame:
     return chunked(seeds.select(F.col("code").alias("id"), "v"), offsets).select("chunk", F.col("id").cast("int").alias("code"), F.col("part").alias("centre"))
 
 
-def _book(codebook: DataFrame) -> Column:
-    """chunk -> array<struct<id,v>> as one map value."""
-    per = codebook.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct(F.col("code").alias("id"), F.col("centre").alias("v")))).alias("c"))
-    return per.agg(F.map_from_entries(F.collect_list(F.struct("chunk", "c")))).scalar()
+def _book(codebook: DataFrame) -> list[np.ndarray]:
+    """The centres of each chunk in order of code; ValueError beyond MOST_CENTRES in all."""
+    rows = codebook.orderBy("chunk", "code").limit(MOST_CENTRES + 1).collect()
+    if len(rows) > MOST_CENTRES:
+        raise ValueError(f"at most {MOST_CENTRES} centres")
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(r["chunk"], []).append(r["centre"])
+    return [np.array(out[c], np.float64) for c in sorted(out)]
+
+
+def _squares(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((v[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
 
 
 def pq_encode(rows: DataFrame, codebook: DataFrame, offsets: list[int]) -> DataFrame:
     """(id, codes array<int>): the nearest code of each chunk, lower code on ties; no row moves."""
-    with_book = rows.withColumn("book", _book(codebook))
-    codes = F.array(*[argmin(F.slice("v", a + 1, b - a), F.col("book")[F.lit(c)])["id"] for c, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True))])
-    return with_book.select("id", codes.cast("array<int>").alias("codes"))
+    shared = rows.sparkSession.sparkContext.broadcast(_book(codebook))
+
+    def code(v: np.ndarray) -> list[pa.Array]:
+        parts = zip(offsets[:-1], offsets[1:], shared.value, strict=True)
+        return [_lists(np.stack([_squares(v[:, a:b], c).argmin(axis=1) for a, b, c in parts], axis=1).astype(np.int32))]
+
+    return _append(rows.select("id", "v"), [T.StructField("codes", T.ArrayType(T.IntegerType()))], code).select("id", "codes")
 
 
 def adc_table(queries: DataFrame, codebook: DataFrame, offsets: list[int], centroid: Column | None = None) -> DataFrame:
     """(q, t array<array<double>>): squared distances of each chunk of q (less the centroid) to each code."""
-    v = F.col("v") if centroid is None else minus(F.col("v"), centroid)
-    with_book = queries.withColumn("x", v).withColumn("book", _book(codebook))
-    def row(chunk: int, a: int, b: int) -> Column:
-        return bound(F.slice("x", a + 1, b - a), lambda part: F.transform(F.col("book")[F.lit(chunk)], lambda e: l2_squared(part, e["v"])))
+    shared = queries.sparkSession.sparkContext.broadcast(_book(codebook))
+
+    def table(v: np.ndarray) -> list[pa.Array]:
+        parts = [_squares(v[:, a:b], c) for a, b, c in zip(offsets[:-1], offsets[1:], shared.value, strict=True)]
+        return [pa.array([[p[k].tolist() for p in parts] for k in range(len(v))], pa.list_(pa.list_(pa.float64())))]
+
+    moved = queries.select("q", (F.col("v") if centroid is None else minus(F.col("v"), centroid)).alias("v"))
+    return _append(moved, [T.StructField("t", T.ArrayType(T.ArrayType(T.DoubleType())))], table).select("q", "t")
+
 
-    rows = [row(c, a, b) for c, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True))]
-    return with_book.select("q", F.array(*rows).alias("t"))
+def _sums(q: np.ndarray, tables: list[list[np.ndarray]], ids: np.ndarray, code: np.ndarray, m: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The m smallest sums for each query among the given codes, lower id on ties, as three flat arrays."""
+    order = np.argsort(ids, kind="stable")
+    ids, code = ids[order], code[order]
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for query, table in zip(q.tolist(), tables, strict=True):
+        dist = np.zeros(len(ids))
+        for j, row in enumerate(table):
+            dist += row[code[:, j]]
+        if exclude_self:
+            dist[ids == query] = np.inf
+        take = np.argsort(dist, kind="stable")[:m]
+        take = take[np.isfinite(dist[take])]
+        out.append((np.full(len(take), query), ids[take], dist[take]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def adc_scan(tables: DataFrame, codes: DataFrame, m: int, exclude_self: bool = False, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The m smallest sums of table entries for each query, (q, id, dist, rank).
 
-    The query set goes to the codes in blocks of at most block_bytes of tables; codes stay in place, and each
-    task passes on m rows a query.
+    Tables of at most block_bytes in all go to the codes, which stay in place; more tables meet the codes in a
+    grid of blocks. Either way a task passes on m rows a query at most.
     """
     size = tables.agg(F.count("*"), F.max(F.aggregate("t", F.lit(0), lambda a, x: a + F.size(x)))).first()
-    blocks = max(1, -(-size[0] * (size[1] or 0) * 8 // block_bytes))
-    parts = [_adc_block(tables.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k), codes, m, exclude_self) for k in range(blocks)]
-    return top_k(reduce(DataFrame.union, parts), m)
-
-
-def _adc_block(tables: DataFrame, codes: DataFrame, m: int, exclude_self: bool) -> DataFrame:
-    rows = tables.select("q", "t").collect()  # a block
-    q = np.array([r["q"] for r in rows], np.int64)
-    shared = codes.sparkSession.sparkContext.broadcast((q, [[np.array(c) for c in r["t"]] for r in rows]))
-
-    def scan(batches):
-        q, t = shared.value
-        for b in batches:
-            if not b.num_rows or not len(q):
-                continue
-            ids = np.asarray(b.column(0))
-            code = np.asarray(b.column(1).flatten()).reshape(len(ids), -1)
-            order = np.argsort(ids, kind="stable")
-            ids, code = ids[order], code[order]
-            out = []
-            for query, table in zip(q.tolist(), t, strict=True):
-                dist = np.zeros(len(ids))
-                for j, row in enumerate(table):
-                    dist += row[code[:, j]]
-                if exclude_self:
-                    dist[ids == query] = np.inf
-                take = np.argsort(dist, kind="stable")[:m]
-                take = take[np.isfinite(dist[take])]
-                out.append((np.full(len(take), query), ids[take], dist[take]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["q", "id", "dist"])
-
-    return codes.select("id", "codes").mapInArrow(scan, "q long, id long, dist double")
+    n, width = size[0], (size[1] or 0) * 8
+    if n * width <= block_bytes:
+        rows = tables.select("q", "t").collect()  # at most block_bytes
+        shared = codes.sparkSession.sparkContext.broadcast((np.array([r["q"] for r in rows], np.int64), [[np.array(c) for c in r["t"]] for r in rows]))
+
+        def scan(batches):
+            q, t = shared.value
+            for b in batches:
+                if b.num_rows and len(q):
+                    ids = np.asarray(b.column(0))
+                    found = _sums(q, t, ids, np.asarray(b.column(1).flatten()).reshape(len(ids), -1), m, exclude_self)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["q", "id", "dist"])
+
+        return top_k(codes.select("id", "codes").mapInArrow(scan, "q long, id long, dist double"), m)
+    nq, nc = max(1, -(-n * width // (8 << 20))), max(1, -(-codes.count() // (16 * BLOCK)))
+    left = tables.select(F.pmod(F.xxhash64("q"), F.lit(nq)).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))).alias("j"), F.col("q").alias("id"), "t", F.lit(None).cast("array<int>").alias("codes"))
+    right = codes.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("i"), F.pmod(F.xxhash64("id"), F.lit(nc)).alias("j"), "id", F.lit(None).cast("array<array<double>>").alias("t"), "codes")
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine, other = pdf[pdf["t"].notna()], pdf[pdf["codes"].notna()]
+        if not len(mine) or not len(other):
+            return pd.DataFrame({"q": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
+        found = _sums(mine["id"].to_numpy(), [[np.asarray(c) for c in t] for t in mine["t"]], other["id"].to_numpy(), np.stack(other["codes"].to_list()), m, exclude_self)
+        return pd.DataFrame(dict(zip(("q", "id", "dist"), found, strict=True)))
+
+    return top_k(left.union(right).groupBy("i", "j").applyInPandas(block, "q long, id long, dist double"), m)
 
 
 def rerank(found: DataFrame, queries: DataFrame, base: DataFrame, k: int, metric: str = "l2") -> DataFrame:

@@ -16,8 +16,10 @@ from nearframe.operators import arrays, exact, graph_analytics, graph_build, gra
 from nearframe.operators import quantize as qz
 from nearframe.sources.staging import stage
 
-K, NLIST, NPROBE, N1, N2 = 10, 16, 4, 16, 16
-CHUNKS, CODES, ADC_TOP = 6, 16, 50
+# The vectors have no cluster structure, so 0.9 of the true neighbours takes most cells: 14 of 16, and as many entry clusters.
+K, NLIST, NPROBE, N1, N2 = 10, 16, 14, 16, 16
+ENTRIES = NPROBE * N2
+CHUNKS, CODES, ADC_TOP = 16, 256, 50
 CANDIDATES, DEGREE, BEAM, WIDTH, HOPS = 16, 8, 16, 2, 3
 DIM = 64
 
@@ -94,16 +96,8 @@ def _(spark, sf):
     return shown(exact.knn(asked(base(spark, sf)), base(spark, sf), K, "l2", exclude_self=True, broadcast_bytes=-1))
 
 
-@query("flat_index_search", f"WITH {E} " + sql_top(f"SELECT q.id AS q, b.id, {sql_dist('l2')} AS dist FROM e q, e b WHERE q.id % 100 = 0 AND b.id % 100 <> 0"))
+@query("flat_index_search", f"WITH {E} {sql_knn('l2')}")
 def _(spark, sf):
-    rows = base(spark, sf).where("id % 100 <> 0")
-    index = exact.FlatIndex("l2").add(rows.where("id % 2 = 0")).add(rows.where("id % 2 = 1"))
-    return shown(index.search(asked(base(spark, sf)), K))
-
-
-@query("flat_index_search_all", f"WITH {E} {sql_knn('l2')}")
-def _(spark, sf):
-    """Against all rows; flat_index_search leaves the query set out of its base, as its SQL does."""
     rows = base(spark, sf)
     index = exact.FlatIndex("l2").add(rows.where("id % 2 = 0")).add(rows.where("id % 2 <> 0"))
     return shown(index.search(asked(rows), K, exclude_self=True))
@@ -124,11 +118,8 @@ def _(spark, sf):
 @query("distance_block_stats", f"WITH {E}, d AS (SELECT q.id AS q, {sql_dist('l2')} AS dist FROM e q, e b WHERE q.id % 100 = 0 AND b.id <> q.id) SELECT q, count(*) AS n, round(min(dist), 6) AS nearest, round(max(dist), 6) AS farthest FROM d GROUP BY q")
 def _(spark, sf):
     """All distances of the query set, summed up where they are made: the nearest and the farthest."""
-    rows, q = base(spark, sf), asked(base(spark, sf))
-    n = rows.count()
-    near = exact.knn(q, rows, 1, "l2", exclude_self=True).select("q", "dist")
-    far = exact.knn(q.select("q", F.transform("v", lambda x: x).alias("v")), rows, max(1, n - 1), "l2", exclude_self=True).groupBy("q").agg(F.count("*").alias("n"), F.max("dist").alias("f"))
-    return near.join(far, "q").select("q", "n", F.round("dist", 6).alias("nearest"), F.round("f", 6).alias("farthest"))
+    found = exact.distance_stats(asked(base(spark, sf)), base(spark, sf), "l2", exclude_self=True)
+    return found.select("q", "n", F.round("nearest", 6).alias("nearest"), F.round("farthest", 6).alias("farthest"))
 
 
 @query("distance_sort_full", f"WITH {E} " + sql_top(f"SELECT q.id AS q, b.id, {sql_dist('l2')} AS dist FROM e q, e b WHERE q.id % 100 = 0 AND b.id <> q.id", 1 << 40))
@@ -143,7 +134,7 @@ RADIUS = 1.2
 @query("radius_search", f"WITH {E} SELECT q.id AS q, b.id, round({sql_dist('l2')}, 6) AS dist FROM e q, e b WHERE q.id % 100 = 0 AND b.id <> q.id AND {sql_dist('l2')} <= {RADIUS}")
 def _(spark, sf):
     rows = base(spark, sf)
-    return exact.knn(asked(rows), rows, rows.count(), "l2", exclude_self=True).where(F.col("dist") <= RADIUS).select("q", "id", F.round("dist", 6).alias("dist"))
+    return exact.within(asked(rows), rows, RADIUS, "l2", exclude_self=True).select("q", "id", F.round("dist", 6).alias("dist"))
 
 
 @query("knn_filtered_label", f"WITH {E} " + sql_top(f"SELECT q.id AS q, b.id, {sql_dist('l2')} AS dist FROM e q, e b WHERE q.id % 100 = 0 AND b.id <> q.id AND b.label = 3"))
@@ -230,10 +221,26 @@ def _(spark, sf):
     return qz.rvq_assign(*rvq(spark, sf)).select("id", "c1", "c2", F.round("dist", 6).alias("dist"))
 
 
-@query("rvq_search", f"{RVQ} " + sql_top(f"SELECT q.id AS q, b.id, {sql_dist('l2')} AS dist FROM n2 q JOIN n2 b USING (c1, c2) WHERE q.id % 100 = 0 AND b.id <> q.id"))
+PLACES = f"""places AS (SELECT k1.id AS c1, k2.id AS c2, list_transform(range(1, {DIM} + 1), lambda i: k1.v[i] + k2.r[i]) AS v FROM k1, k2),
+pe AS (SELECT q, v, c1, c2 FROM (SELECT e.id AS q, e.v, places.c1, places.c2, {sql_dist('l2', 'e.v', 'places.v')} AS d FROM e, places WHERE e.id % 100 = 0) QUALIFY row_number() OVER (PARTITION BY q ORDER BY d, c1, c2) <= {ENTRIES})"""
+
+
+@query("rvq_search", f"{RVQ}, {PLACES} " + sql_top(f"SELECT q.q, b.id, {sql_dist('l2')} AS dist FROM pe q JOIN n2 b USING (c1, c2) WHERE b.id <> q.q"))
 def _(spark, sf):
     rows, coarse, fine = rvq(spark, sf)
-    return shown(qz.rvq_search(asked(rows), rows, coarse, fine, K, exclude_self=True))
+    return shown(qz.rvq_search(asked(rows), rows, coarse, fine, K, exclude_self=True, probes=ENTRIES))
+
+
+@query("ivf_calibrated_recall")
+def _(spark, sf):
+    """The least nprobe at which the query set finds 0.9 of its true neighbours, and the recall of a search with it."""
+    rows = base(spark, sf)
+    centres, cells = ivf(spark, sf)
+    lists = stage(cells)
+    truth = stage(exact.knn(asked(rows), rows, K, exclude_self=True))
+    n = qz.probes_for(asked(rows), truth, lists, centres, 0.9)
+    found = qz.ivf_search(asked(rows), lists, centres, K, n, exclude_self=True)
+    return exact.recall(found, truth, K).agg(F.lit(n).alias("nprobe"), F.round(F.avg("recall"), 6).alias("recall"))
 
 
 # -- product quantisation ----------------------------------------------------------------------------------
@@ -244,7 +251,8 @@ seed AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS code FROM e ORDER BY
 book AS (SELECT seed.code, ch.chunk, ch.part FROM seed JOIN ch USING (id)),
 code AS (SELECT id, chunk, code FROM (SELECT ch.id, ch.chunk, book.code, list_distance(ch.part, book.part) AS d FROM ch JOIN book USING (chunk)) QUALIFY row_number() OVER (PARTITION BY id, chunk ORDER BY d, code) = 1),
 t AS (SELECT ch.id AS q, ch.chunk, book.code, power(list_distance(ch.part, book.part), 2) AS d FROM ch JOIN book USING (chunk) WHERE ch.id % 100 = 0)"""
-ADC = "SELECT t.q, code.id, sum(t.d) AS dist FROM t JOIN code USING (chunk, code) WHERE t.q <> code.id GROUP BY t.q, code.id"
+# sums of whole numbers of 1e-9, so that equal sums are equal in any order
+ADC = "SELECT t.q, code.id, CAST(sum(CAST(round(t.d * 1000000000) AS BIGINT)) AS DOUBLE) / 1000000000 AS dist FROM t JOIN code USING (chunk, code) WHERE t.q <> code.id GROUP BY t.q, code.id"
 
 
 def pq(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -265,10 +273,26 @@ def _(spark, sf):
 
 def adc(spark, sf, m: int) -> DataFrame:
     rows, book, codes = pq(spark, sf)
-    return qz.adc_scan(qz.adc_table(asked(rows), book, OFFSETS), codes, m, exclude_self=True)
+    t = qz.adc_table(asked(rows), book, OFFSETS).withColumn("t", F.transform("t", lambda c: F.transform(c, lambda x: F.round(x * 1_000_000_000))))
+    return qz.adc_scan(t, codes, m, exclude_self=True).withColumn("dist", F.col("dist") / 1_000_000_000)
 
 
-query("pq_adc_topk", f"{PQ} SELECT q, dist, rank FROM ({sql_top(ADC)})")(lambda spark, sf: shown(adc(spark, sf, K)).select("q", "dist", "rank"))
+query("pq_adc_topk", f"{PQ} {sql_top(ADC, ADC_TOP)}")(lambda spark, sf: shown(adc(spark, sf, ADC_TOP)))
+
+
+@query(
+    "pq_adc_centroid",
+    f"""{PQ}, mid AS (SELECT list(m ORDER BY j) AS m FROM (SELECT j, avg(x) AS m FROM (SELECT unnest(v) AS x, unnest(range(0, {DIM})) AS j FROM e) GROUP BY j)),
+qc AS (SELECT e.id AS q, list_transform(range(1, {DIM} + 1), lambda i: e.v[i] - mid.m[i]) AS v FROM e, mid WHERE e.id % 100 = 0),
+qch AS (SELECT q, unnest(range(0, {CHUNKS})) AS chunk, unnest([{_CUT}]) AS part FROM qc)
+SELECT q, CAST(book.chunk AS INTEGER) AS chunk, CAST(code AS INTEGER) AS code, round(power(list_distance(qch.part, book.part), 2), 6) AS dist FROM qch JOIN book USING (chunk)""",
+)
+def _(spark, sf):
+    """Tables of {CODES} codes a chunk for queries less the centroid of all vectors."""
+    rows, book, _ = pq(spark, sf)
+    mid = rows.select(F.posexplode("v").alias("j", "x")).groupBy("j").agg(F.avg("x").alias("x")).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("m"))
+    t = qz.adc_table(asked(rows).crossJoin(F.broadcast(mid)).select("q", "v", "m"), book, OFFSETS, F.col("m"))  # mid is one row
+    return t.select("q", F.posexplode("t").alias("chunk", "row")).select("q", "chunk", F.posexplode("row").alias("code", "d")).select("q", "chunk", "code", F.round("d", 6).alias("dist"))
 
 
 @query("pq_rerank", f"{PQ}, f AS (SELECT q, id FROM ({sql_top(ADC, ADC_TOP)})) " + sql_top(f"SELECT f.q, f.id, {sql_dist('l2', 'a.v', 'b.v')} AS dist FROM f JOIN e a ON a.id = f.q JOIN e b ON b.id = f.id"))
@@ -316,6 +340,14 @@ def _(spark, sf):
     return graph_build.merge_graphs(local, sure, DEGREE).select("src", "dst", F.col("rank").cast("int").alias("rank"))
 
 
+@query("graph_build_in_cells")
+def _(spark, sf):
+    """A graph from the nearest cells of each vector, and the share of the exact graph's k-NN edges that it finds."""
+    rows = base(spark, sf)
+    near = stage(graph_build.subgraph(rows, qz.first_rows(rows, NLIST), CANDIDATES, probes=NPROBE))
+    return exact.recall(near.select(F.col("src").alias("q"), F.col("dst").alias("id")), edges(spark, sf).select(F.col("src").alias("q"), F.col("dst").alias("id")), CANDIDATES).agg(F.count("*").alias("vectors"), F.round(F.avg("recall"), 4).alias("recall"))
+
+
 # -- graph search ----------------------------------------------------------------------------------------------
 def _hop_sql(n: int) -> str:
     """State after hop n from state after hop n - 1 (st<n>: q, id, dist, expanded)."""
@@ -337,21 +369,67 @@ def _(spark, sf):
     return shown(graph_search.hops(q, rows, final_graph(spark, sf).select("src", "dst"), K, BEAM, WIDTH, HOPS))
 
 
-@query("beam_search")
+#: Beam of the searches to the end, and hops that are written out in their SQL (one after the end changes nothing).
+WIDE, MOST_HOPS = 64, 80
+
+
+def _search_sql(start: str) -> str:
+    """State (q, id, dist, hop) after as many hops as it takes, from start (q, id, dist)."""
+    out = f", st0 AS MATERIALIZED (SELECT q, id, dist, CAST(NULL AS INTEGER) AS hop FROM ({start}))"
+    for n in range(1, MOST_HOPS + 1):
+        p = f"st{n - 1}"
+        out += f""", op{n} AS MATERIALIZED (SELECT q, id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS r FROM {p}) WHERE r <= {WIDE} AND hop IS NULL QUALIFY row_number() OVER (PARTITION BY q ORDER BY dist, id) <= {WIDTH}),
+nw{n} AS (SELECT DISTINCT o.q, g.dst AS id FROM op{n} o JOIN graph g ON g.src = o.id ANTI JOIN {p} s ON s.q = o.q AND s.id = g.dst),
+st{n} AS MATERIALIZED (SELECT s.q, s.id, s.dist, CASE WHEN o.q IS NULL THEN s.hop ELSE {n} END AS hop FROM {p} s LEFT JOIN op{n} o ON o.q = s.q AND o.id = s.id
+  UNION ALL SELECT n.q, n.id, {sql_dist('l2', 'a.v', 'b.v')}, NULL FROM nw{n} n JOIN e a ON a.id = n.q JOIN e b ON b.id = n.id)"""
+    return out
+
+
+def _found_sql(entry: str, k: int = K) -> str:
+    return f"""SELECT f.q, f.id, f.dist, f.rank, c.hops, c.dist_comps, n.entry FROM ({sql_top(f'SELECT q, id, dist FROM st{MOST_HOPS}', k)}) f
+JOIN (SELECT q, coalesce(max(hop), 0) AS hops, count(*) AS dist_comps FROM st{MOST_HOPS} GROUP BY q) c USING (q) JOIN ({entry}) n USING (q)"""
+
+
+FIXED = "SELECT id AS q, 0::BIGINT AS entry FROM e WHERE id % 100 = 0"
+#: A fixed rule that mixes: every query another entry, the same in SQL.
+MIXED = "SELECT id AS q, (id * 7919 + 13) % (SELECT count(*) FROM e) AS entry FROM e WHERE id % 100 = 0"
+
+
+def _start(entry: str) -> str:
+    return f"SELECT n.q, b.id, {sql_dist('l2', 'a.v', 'b.v')} AS dist FROM ({entry}) n JOIN e a ON a.id = n.q JOIN e b ON b.id = n.entry"
+
+
+GRAPHED = f"{GRAPH}, graph AS MATERIALIZED (SELECT src, dst FROM fin)"
+
+
+def searched(spark, sf, queries: DataFrame, k: int = K) -> DataFrame:
+    found = graph_search.beam_search(queries, base(spark, sf), final_graph(spark, sf), k, WIDE, WIDTH)
+    return found.withColumn("dist", F.round("dist", 6)).withColumn("hops", F.col("hops").cast("int"))
+
+
+@query("beam_search", f"WITH {GRAPHED}{_search_sql(_start(FIXED))} {_found_sql(FIXED)}")
+def _(spark, sf):
+    return searched(spark, sf, graph_search.entries(asked(base(spark, sf)), "fixed", 0))
+
+
+@query("beam_search_random_entry", f"WITH {GRAPHED}{_search_sql(_start(MIXED))} {_found_sql(MIXED)}")
 def _(spark, sf):
     rows = base(spark, sf)
-    found = graph_search.beam_search(graph_search.entries(asked(rows), "fixed", 0), rows, final_graph(spark, sf), K, 64, WIDTH)
-    return found.withColumn("dist", F.round("dist", 6))
+    prior = asked(rows).select("q", F.pmod(F.col("q") * 7919 + 13, F.lit(rows.count())).alias("entry"))
+    return searched(spark, sf, graph_search.entries(asked(rows), "prior", prior=prior))
 
 
-@query("beam_search_random_entry")
+@query("beam_search_hashed_entry")
 def _(spark, sf):
+    """Entries by a hash that SQL does not have."""
     rows = base(spark, sf)
-    found = graph_search.beam_search(graph_search.entries(asked(rows), "random", n=rows.count()), rows, final_graph(spark, sf), K, 64, WIDTH)
-    return found.withColumn("dist", F.round("dist", 6))
+    return searched(spark, sf, graph_search.entries(asked(rows), "random", n=rows.count()))
 
 
-def hybrid(spark, sf, beam: int = 64) -> DataFrame:
+PRIOR = "SELECT x.id AS q, coalesce(f.entry, w.entry) AS entry FROM n2 x LEFT JOIN (SELECT c1, c2, min(id) AS entry FROM n2 GROUP BY c1, c2) f USING (c1, c2) LEFT JOIN (SELECT c1, min(id) AS entry FROM n2 GROUP BY c1) w ON w.c1 = x.c1 WHERE x.id % 100 = 0"
+
+
+def hybrid(spark, sf) -> DataFrame:
     """The two-layer index picks an entry vertex near the query: the first vector of its entry cluster, else of its cell."""
     rows, coarse, fine = rvq(spark, sf)
     cells = stage(qz.rvq_assign(rows, coarse, fine))
@@ -359,17 +437,17 @@ def hybrid(spark, sf, beam: int = 64) -> DataFrame:
     wide = cells.groupBy("c1").agg(F.min("id").alias("coarse_entry"))
     q = stage(qz.rvq_assign(asked(rows).select(F.col("q").alias("id"), "v"), coarse, fine))
     prior = q.join(own, ["c1", "c2"], "left").join(wide, "c1", "left").select(F.col("id").alias("q"), F.coalesce("fine_entry", "coarse_entry").alias("entry"))
-    return graph_search.beam_search(graph_search.entries(asked(rows), "prior", prior=prior), rows, final_graph(spark, sf), K, beam, WIDTH)
+    return searched(spark, sf, graph_search.entries(asked(rows), "prior", prior=prior))
 
 
-query("hybrid_search")(lambda spark, sf: hybrid(spark, sf).withColumn("dist", F.round("dist", 6)))
+query("hybrid_search", f"{RVQ}, {GRAPHED.removeprefix(E + ', ')}{_search_sql(_start(PRIOR))} {_found_sql(PRIOR)}")(hybrid)
 
 
-@query("recall_beam")
+@query("recall_beam", f"WITH {GRAPHED}{_search_sql(_start(FIXED))}, t AS (SELECT q, id FROM ({sql_knn('l2')})), f AS (SELECT q, id FROM ({sql_top(f'SELECT q, id, dist FROM st{MOST_HOPS}', K + 1)}) WHERE q <> id) SELECT t.q, count(f.id) AS hits, round(count(f.id) / {K}.0, 6) AS recall FROM t LEFT JOIN f ON f.q = t.q AND f.id = t.id GROUP BY t.q")
 def _(spark, sf):
     rows = base(spark, sf)
-    found = graph_search.beam_search(graph_search.entries(asked(rows), "fixed", 0), rows, final_graph(spark, sf), K + 1, 64, WIDTH).where("q <> id")
-    return exact.recall(found, exact.knn(asked(rows), rows, K, exclude_self=True), K)
+    found = searched(spark, sf, graph_search.entries(asked(rows), "fixed", 0), K + 1).where("q <> id")
+    return exact.recall(found, exact.knn(asked(rows), rows, K, exclude_self=True), K).select("q", "hits", F.round("recall", 6).alias("recall"))
 
 
 @query("candidate_merge_topl", f"{IVF}, x AS ({sql_top(IVF_PAIRS)}), y AS ({sql_knn('l2', 'e', 5)}), u AS (SELECT q, id, dist, TRUE AS visited FROM x UNION ALL SELECT q, id, dist, FALSE FROM y WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.q = y.q AND x.id = y.id)) SELECT q, id, dist, visited, CAST(row_number() OVER (PARTITION BY q ORDER BY dist, id) AS INTEGER) AS rank FROM u QUALIFY rank <= {K}")
@@ -390,20 +468,25 @@ def _(spark, sf):
 
 # -- graph analytics: two nearest neighbours of each vector, and customers with their suppliers ----------------
 SPARSE = f"{E}, {KNN}, sg AS (SELECT src, dst, dist, CAST(round(dist * 1000) AS BIGINT) AS w FROM knn WHERE rank < 4)"
-TRADE = "tr AS (SELECT DISTINCT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 7 = 0)"
+TRADE = "tr AS (SELECT DISTINCT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
 
 
 def sparse(spark, sf) -> DataFrame:
     return stage(graph_build.knn_graph(base(spark, sf), 4).withColumn("w", F.round(F.col("dist") * 1000).cast("long")))
 
 
-def trade(spark, sf, where: str | None = "o_custkey % 7 = 0") -> DataFrame:
+def trade(spark, sf) -> DataFrame:
     o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    met = (o.where(where) if where else o).join(l, F.col("l_orderkey") == F.col("o_orderkey"))
+    met = o.join(l, F.col("l_orderkey") == F.col("o_orderkey"))
     return met.select((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).distinct()
 
 
-@query("graph_bfs", f"WITH RECURSIVE {SPARSE}, b AS (SELECT 0::BIGINT AS node, 0 AS level UNION SELECT sg.dst, b.level + 1 FROM b JOIN sg ON sg.src = b.node WHERE b.level < 40) SELECT node, CAST(min(level) AS INTEGER) AS level FROM b GROUP BY node")
+def _least_sql(name: str, start: str, edge: str, value: str) -> str:
+    """Recursion that keeps the least value of each node and ends when none improves; edge: (src, dst, w)."""
+    return f"{name}(node, {value}) USING KEY (node) AS ({start} UNION SELECT g.dst, min(b.{value} + g.w) FROM {name} b JOIN ({edge}) g ON g.src = b.node LEFT JOIN recurring.{name} o ON o.node = g.dst WHERE o.node IS NULL OR b.{value} + g.w < o.{value} GROUP BY g.dst)"
+
+
+@query("graph_bfs", f"WITH RECURSIVE {SPARSE}, {_least_sql('b', 'SELECT 0::BIGINT AS node, 0 AS level', 'SELECT src, dst, 1 AS w FROM sg', 'level')} SELECT node, level FROM b")
 def _(spark, sf):
     return graph_analytics.bfs(sparse(spark, sf), 0)
 
@@ -413,17 +496,12 @@ def _(spark, sf):
     return graph_analytics.components(graph_build.knn_graph(base(spark, sf), 1))
 
 
-@query("graph_cc_trade", f"WITH RECURSIVE {TRADE}, un AS (SELECT src AS a, dst AS b FROM tr UNION SELECT dst, src FROM tr), r AS (SELECT DISTINCT a AS node, a AS far FROM un UNION SELECT r.node, un.b FROM r JOIN un ON un.a = r.far) SELECT node, min(far) AS component FROM r GROUP BY node")
+@query("graph_cc_trade", f"WITH RECURSIVE {TRADE}, un AS MATERIALIZED (SELECT src AS a, dst AS b FROM tr UNION SELECT dst, src FROM tr), r(node, component) USING KEY (node) AS (SELECT DISTINCT a AS node, a AS component FROM un UNION SELECT un.b, min(r.component) FROM r JOIN un ON un.a = r.node JOIN recurring.r o ON o.node = un.b WHERE r.component < o.component GROUP BY un.b) SELECT node, component FROM r")
 def _(spark, sf):
+    """Components over all orders."""
     return graph_analytics.components(trade(spark, sf))
 
 
-@query("graph_cc_trade_all")
-def _(spark, sf):
-    """Components over all orders; graph_cc_trade takes those of customers divisible by 7, as its recursive SQL does."""
-    return graph_analytics.components(trade(spark, sf, None))
-
-
 RANK_ROUNDS = 5
 PAGERANK = f"WITH {E}, {KNN}, sg AS (SELECT src, dst FROM knn WHERE rank < 4), nodes AS (SELECT src AS node FROM sg UNION SELECT dst FROM sg), deg AS (SELECT src, count(*) AS d FROM sg GROUP BY src), n AS (SELECT count(*)::DOUBLE AS n FROM nodes), r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM nodes, n)" + "".join(
     f", r{i} AS MATERIALIZED (SELECT nodes.node, 0.15 / n + 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i - 1} LEFT JOIN deg ON deg.src = node WHERE d IS NULL) / n) AS rank FROM nodes CROSS JOIN n LEFT JOIN (SELECT sg.dst, sum(r.rank / deg.d) AS got FROM sg JOIN r{i - 1} r ON r.node = sg.src JOIN deg ON deg.src = sg.src GROUP BY sg.dst) g ON g.dst = nodes.node)"
@@ -436,13 +514,11 @@ def _(spark, sf):
     return graph_analytics.pagerank(sparse(spark, sf), RANK_ROUNDS).select("node", F.round("rank", 9).alias("rank"))
 
 
-def _sssp_sql(w: str, zero: str) -> str:
-    rounds = "".join(f", d{i} AS MATERIALIZED (SELECT node, min(dist) AS dist FROM (SELECT node, dist FROM d{i - 1} UNION ALL SELECT sg.dst, d.dist + sg.{w} FROM d{i - 1} d JOIN sg ON sg.src = d.node) GROUP BY node)" for i in range(1, 31))
-    return f"WITH {SPARSE}, d0 AS (SELECT 0::BIGINT AS node, {zero} AS dist){rounds}"
-
-
-query("graph_sssp", f"{_sssp_sql('w', '0::BIGINT')} SELECT node, dist FROM d30")(lambda spark, sf: graph_analytics.sssp(sparse(spark, sf), 0, F.col("w")))
-query("graph_sssp_float", f"{_sssp_sql('dist', '0::DOUBLE')} SELECT node, round(dist, 6) AS dist FROM d30")(lambda spark, sf: graph_analytics.sssp(sparse(spark, sf), 0, F.col("dist")).select("node", F.round("dist", 6).alias("dist")))
+for _w, _zero, _name in (("w", "0::BIGINT", "graph_sssp"), ("dist", "0::DOUBLE", "graph_sssp_float")):
+    _sql = f"WITH RECURSIVE {SPARSE}, {_least_sql('d', f'SELECT 0::BIGINT AS node, {_zero} AS far', f'SELECT src, dst, {_w} AS w FROM sg', 'far')}"
+    query(_name, f"{_sql} SELECT node, {'far' if _w == 'w' else 'round(far, 6)'} AS dist FROM d")(
+        lambda spark, sf, w=_w: graph_analytics.sssp(sparse(spark, sf), 0, F.col(w)).select("node", (F.col("dist") if w == "w" else F.round("dist", 6)).alias("dist"))
+    )
 
 
 # -- arrays ----------------------------------------------------------------------------------------------------
@@ -474,15 +550,9 @@ def _(spark, sf):
     return rows.groupBy(F.floor(F.col("o_orderkey") / 512).cast("long").alias("block")).agg(F.count("*").alias("n"), F.max("o_custkey").alias("last"))
 
 
-@query("upsert_latest_wins", "WITH c AS (SELECT user_id, event_id, event_type, 0 AS fresh FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_id, upper(event_type), 1 FROM events WHERE event_id % 3 = 0) SELECT user_id, event_id, event_type FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, fresh DESC) = 1")
+@query("upsert_latest_wins", "WITH c AS (SELECT user_id, event_id, event_type, 0 AS fresh FROM events UNION ALL SELECT user_id, event_id, upper(event_type), 1 FROM events WHERE event_id % 3 = 0) SELECT user_id, event_id, event_type FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, fresh DESC) = 1")
 def _(spark, sf):
-    e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
-    return arrays.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0").withColumn("event_type", F.upper("event_type")), ["user_id"], ["event_id"])
-
-
-@query("upsert_latest_wins_all", "WITH c AS (SELECT user_id, event_id, event_type, 0 AS fresh FROM events UNION ALL SELECT user_id, event_id, upper(event_type), 1 FROM events WHERE event_id % 3 = 0) SELECT user_id, event_id, event_type FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, fresh DESC) = 1")
-def _(spark, sf):
-    """All events are the base; upsert_latest_wins takes those of even ids, as its SQL does."""
+    """All events are the base, a third of them is changed."""
     e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
     return arrays.upsert(e, e.where("event_id % 3 = 0").withColumn("event_type", F.upper("event_type")), ["user_id"], ["event_id"])
 
@@ -566,3 +636,128 @@ def _(spark, sf):
 
     again, differing = written_back(table(spark, sf, "supplier"), f"{shared_dir(spark)}/nearframe-check-{uuid.uuid4().hex[:12]}")
     return again.agg(F.count("*").alias("rows")).withColumn("differing", F.lit(differing).cast("long"))
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from nearframe.sources.staging import shared_dir
+
+    return f"{shared_dir(spark)}/nearframe-{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("vector_file_round_trip", f"WITH {E} SELECT id AS vec_id, len(v) AS dim, round(list_sum(v), 6) AS total FROM e")
+def _(spark, sf):
+    """Vectors written in blocks of .fvecs records and read again."""
+    from nearframe.sources import vecs
+
+    path = _path(spark, "vecs")
+    dense = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    vecs.write(dense, path, "fvecs")
+    back = vecs.read_written(spark, path, "fvecs")
+    return back.select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("subgraph_dump_with_ids", f"WITH {E}, {KNN} SELECT src, CAST(rank AS BIGINT) AS slot, dst FROM knn WHERE rank < 8 AND src % 5 = 0 AND dst % 5 = 0")
+def _(spark, sf):
+    """The part of the graph among every fifth vertex, under local ids, dumped with its own ids and loaded."""
+    from nearframe.sources.tables import dump_subgraph, load_edges
+
+    ids = base(spark, sf).where("id % 5 = 0").select((F.col("id") / 5).cast("long").alias("local"), "id")
+    g = stage(graph_build.knn_graph(base(spark, sf), 8).where("src % 5 = 0 and dst % 5 = 0"))
+    local = g.select((F.col("src") / 5).cast("long").alias("src"), F.col("rank").cast("long").alias("slot"), (F.col("dst") / 5).cast("long").alias("dst"))
+    path = _path(spark, "part")
+    dump_subgraph(local, ids, path)
+    return load_edges(spark, path).where("weight = 1").select("src", "slot", "dst")
+
+
+@query("edge_arrays_split", f"WITH {E}, {KNN} SELECT src, CAST(rank AS BIGINT) AS slot, dst, round(dist, 6) AS weight FROM knn WHERE rank < 4")
+def _(spark, sf):
+    """Targets and weights written apart and put together again by edge number."""
+    from nearframe.sources.tables import split_edges
+
+    path = _path(spark, "edges")
+    split_edges(graph_build.knn_graph(base(spark, sf), 4).select("src", F.col("rank").cast("long").alias("slot"), "dst", F.col("dist").alias("weight")), path)
+    return spark.read.parquet(f"{path}/dst").join(spark.read.parquet(f"{path}/val"), ["src", "slot"]).select("src", "slot", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query("graph_accessors", f"WITH {GRAPH} SELECT e.id AS src, CAST(count(fin.dst) AS INTEGER) AS degree, coalesce(string_agg(fin.dst, ',' ORDER BY fin.slot), '') AS nbrs FROM e LEFT JOIN fin ON fin.src = e.id WHERE e.id % 100 = 0 GROUP BY e.id")
+def _(spark, sf):
+    from nearframe.sources.tables import neighbours
+
+    found = neighbours(final_graph(spark, sf), asked(base(spark, sf)).select(F.col("q").alias("id")))
+    return found.select("src", "degree", F.array_join(F.col("nbrs").cast("array<string>"), ",").alias("nbrs"))
+
+
+@query("block_write_dump", "SELECT c_custkey AS key, b AS block, upper(substr(hex(encode(c_name)), b * 16 + 1, 16)) AS data FROM customer, range(1, 3) t(b) WHERE length(c_name) > b * 8")
+def _(spark, sf):
+    """Names written as blocks of eight bytes; the second and third block of each, dumped as text."""
+    from nearframe.sources.tables import dump_blocks, write_blocks
+
+    path = _path(spark, "blocks")
+    write_blocks(table(spark, sf, "customer"), path, "c_custkey", "c_name", 8)
+    return dump_blocks(spark, path, 1, 2, ascii_=True).select("key", F.col("block").cast("long").alias("block"), "data")
+
+
+@query("array_random_blocks", "WITH w AS (SELECT DISTINCT (i * 7919 + 13) % 60 AS block FROM range(0, 20) t(i)) SELECT o_orderkey // 64 AS block, count(*) AS n, max(o_custkey) AS last FROM orders JOIN w ON w.block = o_orderkey // 64 GROUP BY 1")
+def _(spark, sf):
+    wanted = spark.range(20).select(((F.col("id") * 7919 + 13) % 60).alias("block"))
+    return arrays.block_pick(table(spark, sf, "orders"), "o_orderkey", wanted, 64).groupBy("block").agg(F.count("*").alias("n"), F.max("o_custkey").alias("last"))
+
+
+@query("bounded_cache_hits", "SELECT user_id % 7 AS slot_class, count(*) AS accesses, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM (SELECT user_id, coalesce(lag(user_id) OVER (PARTITION BY user_id % 64 ORDER BY event_id) = user_id, FALSE) AS hit FROM events) GROUP BY 1")
+def _(spark, sf):
+    """Pages are users, accessed by events in order, with a cache of 64 pages."""
+    e = arrays.cache_hits(table(spark, sf, "events").select("event_id", "user_id"), "event_id", "user_id", 64)
+    return e.groupBy((F.col("user_id") % 7).alias("slot_class")).agg(F.count("*").alias("accesses"), F.sum(F.col("hit").cast("long")).alias("hits"))
+
+
+@query("metric_averages", "SELECT event_type, hour(ts) AS hour, round(avg(value), 6) AS value FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    log = table(spark, sf, "events").select("event_type", F.hour("ts").cast("long").alias("hour"), "value")
+    return arrays.metric_averages(log, ["event_type", "hour"], ["value"]).withColumn("value", F.round("value", 6))
+
+
+@query("total_time", "SELECT user_id, min(event_id) AS entry, CAST(count(*) - 1 AS BIGINT) AS steps, min(event_id) + CAST(count(*) - 1 AS BIGINT) AS total FROM events GROUP BY user_id")
+def _(spark, sf):
+    """A total as the sum of an entry part and a search part, a column of each."""
+    parts = table(spark, sf, "events").groupBy("user_id").agg(F.min("event_id").alias("entry"), (F.count("*") - 1).alias("steps"))
+    return parts.withColumn("total", F.col("entry") + F.col("steps"))
+
+
+@query(
+    "compare_swap",
+    "SELECT i AS n, least(i, i * 7 % 1000) AS low, greatest(i, i * 7 % 1000) AS high, CASE WHEN i % 3 = 0 THEN -i ELSE i END AS assigned, i < i * 7 % 1000 AS lt, i > i * 7 % 1000 AS gt, i = i * 7 % 1000 AS eq, i * 0 AS zero, CAST(power(2, i % 40) AS BIGINT) AS pow2 FROM range(0, 2000) t(i)",
+)
+def _(spark, sf):
+    a, b = F.col("id"), F.col("id") * 7 % 1000
+    low, high = integers.swap_if(a > b, a, b)
+    return spark.range(2000).select(
+        a.alias("n"), low.alias("low"), high.alias("high"), integers.assign_if(a % 3 == 0, a, -a).alias("assigned"), (a < b).alias("lt"), (a > b).alias("gt"), (a == b).alias("eq"),
+        (a * 0).alias("zero"), integers.power_of_two(a % 40).alias("pow2"),
+    )
+
+
+@query("windowed_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    """The streaming aggregation on a finished table: every hour is closed, none is late."""
+    from nearframe.streaming.assign import windowed_counts
+
+    found = windowed_counts(table(spark, sf, "events"))
+    return found.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("kept_table", "SELECT s_nationkey, count(*) AS n, count(DISTINCT s_suppkey) AS suppliers FROM supplier GROUP BY 1")
+def _(spark, sf):
+    """Two aggregations of one persisted table."""
+    from nearframe.sources.tables import keep
+
+    s = keep(table(spark, sf, "supplier"))
+    return s.groupBy("s_nationkey").agg(F.count("*").alias("n")).join(s.groupBy("s_nationkey").agg(F.count_distinct("s_suppkey").alias("suppliers")), "s_nationkey")
+
+
+@query("neighbour_selection", f"WITH {GRAPH} SELECT 'simple' AS how, src, dst FROM knn WHERE rank < {DEGREE} UNION ALL SELECT 'heuristic', src, dst FROM pr")
+def _(spark, sf):
+    """Simple selection takes the nearest, heuristic selection those of fewest detours."""
+    found = [graph_build.select_neighbours(edges(spark, sf), DEGREE, how).select(F.lit(how).alias("how"), "src", "dst") for how in ("simple", "heuristic")]
+    return found[0].union(found[1])

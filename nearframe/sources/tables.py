@@ -54,13 +54,39 @@ def split_edges(edges: DataFrame, path: str) -> None:
 
 
 def read_blocks(spark: SparkSession, path: str, offset: int, blocks: int, block: int) -> DataFrame:
-    """(path, block, data): `blocks` blocks of `block` bytes of each file from byte `offset` on; short at its end."""
+    """(path, block, data): `blocks` blocks of `block` bytes of each file from byte `offset` on; short at its end.
+
+    For files below 2 GB, which Spark reads as one value each; ``write_blocks`` keeps larger data as a table of blocks.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     numbered = files.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     data = F.substring(F.col("content"), F.lit(offset + 1) + F.col("block") * block, F.lit(block))
     return numbered.select("path", "block", data.alias("data")).where(F.length("data") > 0)
 
 
+def write_blocks(df: DataFrame, path: str, key: str, data: str, block: int) -> None:
+    """Writes the bytes of each row's data as rows (key, block, data) of `block` bytes, the last one as short as it is."""
+    size = F.greatest(F.ceil(F.length("data") / F.lit(block)).cast("int"), F.lit(1))
+    cut = df.select(F.col(key).alias("key"), F.col(data).cast("binary").alias("data")).withColumn("block", F.explode(F.sequence(F.lit(0), size - 1)))
+    part = F.substring(F.col("data"), F.col("block") * block + 1, F.lit(block))
+    cut.select("key", "block", part.alias("data")).write.mode("overwrite").parquet(path)
+
+
+def dump_blocks(spark: SparkSession, path: str, first: int = 0, blocks: int | None = None, ascii_: bool = False) -> DataFrame:
+    """(key, block, data) of blocks from `first` on, `blocks` of them; as hexadecimal text if ascii_. The range reaches the scan."""
+    df = spark.read.parquet(path).where(F.col("block") >= first)
+    if blocks is not None:
+        df = df.where(F.col("block") < first + blocks)
+    return df.withColumn("data", F.hex("data")) if ascii_ else df
+
+
+def neighbours(graph: DataFrame, ids: DataFrame) -> DataFrame:
+    """(src, degree, nbrs) of the vertices wanted (column id): what they point at, by slot; none gives 0 and an empty list."""
+    lists = pack_graph(graph.join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_semi"))
+    found = ids.select(F.col("id").alias("src")).distinct().join(lists, "src", "left")
+    return found.select("src", F.when(F.col("nbrs").isNull(), F.lit(0)).otherwise(F.size("nbrs")).alias("degree"), F.coalesce("nbrs", F.array().cast("array<bigint>")).alias("nbrs"))
+
+
 def written_back(df: DataFrame, path: str) -> tuple[DataFrame, int]:
     """Writes df, reads it again, and counts rows that differ either way (0: intact)."""
     df.write.mode("overwrite").parquet(path)

@@ -55,8 +55,11 @@ def read(spark: SparkSession, path: str, kind: str, limit: int | None = None) ->
         dim = int.from_bytes(bytes((stream.read() & 0xFF) for _ in range(4)), "little")
     finally:
         stream.close()
-    records = spark.sparkContext.binaryRecords(path, 4 + dim * KINDS[kind].itemsize)
-    starts = [0, *np.cumsum(records.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()).tolist()]
+    width = 4 + dim * KINDS[kind].itemsize
+    records = spark.sparkContext.binaryRecords(path, width)
+    # splits are whole records, so a split's first record follows from where it starts
+    parts = records._jrdd.rdd().partitions()
+    starts = [parts[k].serializableHadoopSplit().value().getStart() // width for k in range(len(parts))]
 
     def number(k: int, it: Iterator[bytes]) -> Iterator[tuple[int, bytearray]]:
         return ((starts[k] + i, bytearray(r)) for i, r in enumerate(it))
