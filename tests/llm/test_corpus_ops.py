@@ -393,3 +393,25 @@ def test_languages_beyond_the_bound_are_other(spark, monkeypatch):
     assert model.labels == ("aa", "bb", "other")
     got = {r["doc_id"]: r["lang_id"] for r in langid.identify(df, model, declared=F.col("lang")).collect()}
     assert got == {i: lang if lang < "cc" else "other" for i, _, lang in data}
+
+
+def test_pipeline_keeps_unique_rows_of_repeated_ids(spark, sf):
+    import corpus_pipeline as cp
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a.replace("a39", "other")
+    rows = [(3, a), (7, near), (7, b), (8, c), (8, c), (None, b), (None, "only here " * 9)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in cp.near_dedup(spark, docs, sf).collect())
+    assert [t for _, t in got].count(a) == [t for _, t in got].count(b) == [t for _, t in got].count(c) == 1
+    assert len(got) == 4 and ("None", "only here " * 9) in got and cp.near_dedup(spark, docs.where("doc_id < 0"), sf).count() == 0
+
+
+def test_columns_named_like_helpers_and_other_case(spark):
+    from nearframe.llm import licenses
+
+    df = spark.createDataFrame([(1, "Released under the MIT License.", "en", 5, 6)], "doc_id long, TEXT string, lang string, _ int, __text int")
+    r = licenses.scan(df, "text").first()
+    assert (r["license"], r["_"], r["__text"]) == ("MIT", 5, 6)
+    r = langid.identify(df, langid.fit(df), "text", declared=F.col("lang")).first()
+    assert (r["_"], r["__text"], r["lang_id"]) == (5, 6, "en")
