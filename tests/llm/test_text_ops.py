@@ -287,6 +287,15 @@ def test_licences(spark):
     assert licenses.scan(df, templates={"short": ["one"]}).agg({"n_matches": "sum"}).first()[0] == 0
 
 
+@pytest.mark.parametrize("name", sorted({**licenses.TEMPLATES, **licenses.NOTICES}))
+def test_notices_keep_their_terms(name):
+    """Each notice is found as itself, alone and within prose, not as a licence of other terms."""
+    ix = licenses.standard()
+    for text in licenses.TEMPLATES.get(name, []) + licenses.NOTICES.get(name, []):
+        assert licenses.match(text, ix)[0] == name
+        assert licenses.match(f"Some words of prose come first. {text} And more prose goes on after it.", ix)[0] == name
+
+
 def test_whole_and_embedded_licences(spark):
     texts = licenses.all_templates()
     bsd, mit = texts["BSD-3-Clause"][-1], texts["MIT"][-1]
