@@ -307,6 +307,15 @@ def test_whole_and_embedded_licences(spark):
     assert got == dict(enumerate(cases)) | {90: "MIT", 91: None, 92: "GPL-2.0"}
 
 
+@pytest.mark.parametrize("name", ["AGPL-3.0", "GPL-3.0", "GPL-2.0", "LGPL-2.1", "LGPL-2.0"])
+def test_close_licences_are_told_apart(name):
+    """Whole texts, also as comments, without what follows the terms or without what precedes them."""
+    ix, text = licenses.standard(), licenses.all_templates()[name][-1]
+    terms = text[: text.index("END OF TERMS")]
+    for x in (text, "\n".join("# " + line for line in text.split("\n")), terms, terms[len(terms) // 5 :], f"Some prose. {text} And more."):
+        assert licenses.match(x, ix)[0] == name
+
+
 def test_windows_equal_all_windows():
     rng = np.random.default_rng(5)
     template = " ".join(f"t{i}" for i in rng.integers(0, 9, 12))
