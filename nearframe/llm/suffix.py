@@ -32,6 +32,8 @@ from nearframe.llm.vectext import prefix_hash, slice_hash, window_argmin
 KMER = 50
 SHALLOW = 16
 GROUP = 4096
+#: A key of more than a HOT-th of all rows (so there are fewer than HOT of them) is dealt over several tasks.
+HOT = 1000
 CHUNK = 1 << 19
 
 
@@ -311,16 +313,28 @@ def _split_spans(contexts: DataFrame, min_len: int, scratch: Scratch) -> DataFra
     return out
 
 
+def _among(rows: DataFrame, keys: DataFrame, key: list[str], total: int) -> DataFrame:
+    """The rows (of total) whose key is one of keys, which has each key once with its number of rows n.
+
+    A very common key would meet in one task, and be split by Spark only if it comes in many blocks: it is salted
+    instead, by as many parts as it has HOT-ths of all rows. The list of such keys has fewer than HOT rows.
+    """
+    dealt = keys.select(*key, F.ceil(F.col("n") * HOT / F.lit(max(total, 1))).cast("int").alias("parts"))
+    salt = F.coalesce(F.pmod(F.xxhash64("k1", "k2", "pos"), F.col("parts")), F.lit(0)).cast("int")
+    salted = rows.join(F.broadcast(dealt.where("parts > 1")), key, "left").withColumn("salt", salt).drop("parts")
+    every = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return salted.join(every, [*key, "salt"], "left_semi").drop("salt")
+
+
 def repeated_spans(docs: DataFrame, min_len: int, scratch: Scratch) -> DataFrame:
     """(k1, k2, s, e): byte spans of windows of min_len bytes that start anywhere else too; docs: k1, k2, text."""
     found = scratch.write(_anchors(docs, min_len), "anchors")
-    # counted apart: a join with an aggregate's output can't be split where one string is very common
-    again = scratch.write(found.groupBy("kmer").agg(F.count("*").alias("c")).where("c > 1").select("kmer"), "kmers")
-    some = scratch.write(found.join(again, "kmer", "left_semi"), "repeated")
-    scratch.drop(found)
+    again = scratch.write(found.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1"), "kmers")
+    some = scratch.write(_among(found, again, ["kmer"], found.count()), "repeated")
+    scratch.drop(found, again)
     key = ["kmer", "ctx", "ctx2", "before", "behind"]
     groups = scratch.write(some.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("rep")), "contexts")
-    whole = some.join(groups.where("n > 1").select(*key), key, "left_semi").select(
+    whole = _among(some, groups.where("n > 1"), key, some.count()).select(
         "k1", "k2", (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + F.col("behind")).alias("e")
     )
     several = groups.groupBy("kmer").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 and least = 1").select("kmer", "d")
