@@ -37,8 +37,11 @@ class Model:
 
 
 def grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram buckets of all texts end to end, and how many each text has; only letters count, the rest is blank."""
-    data = np.frombuffer(b"  ".join([*raws, b""]), np.uint8)
+    """Trigram buckets of all texts end to end, and how many each text has; only letters count, the rest is blank.
+
+    Each text stands between blanks, so its trigrams are the same whatever its neighbours.
+    """
+    data = np.frombuffer(b"  ".join([b"", *raws, b""]), np.uint8)
     low = data | (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
     letter = ((low >= 97) & (low <= 122)) | (low >= 128)
     low = np.where(letter, low, 32).astype(np.uint32)

@@ -1,6 +1,8 @@
 """Near-duplicates, repeats, line runs, chat and language ID against brute force and edge cases."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 
@@ -332,6 +334,105 @@ def test_language_accuracy_and_fusion(spark, sf):
     assert {r["lang_id"] for r in langid.identify(odd, none).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Trigrams of one text, one at a time."""
+    low = [c + 32 if 65 <= c <= 90 else c for c in text.encode()]
+    low = [32, *(c if 97 <= c <= 122 or c >= 128 else 32 for c in low), 32]
+    out = []
+    for a, b, c in zip(low, low[1:], low[2:]):
+        if (a != 32) + (b != 32) + (c != 32) >= 2:
+            out.append((((a << 16 | b << 8 | c) * 2654435761) % 2**32) >> 17)
+    return out
+
+
+def test_grams_do_not_depend_on_neighbours():
+    texts = ["", "the cat", "x", "", "ab", "É à", "12", "", "Ab-Cd ef"]
+    got, count = langid.grams([t.encode() for t in texts])
+    assert count.tolist() == [len(plain_grams(t)) for t in texts] and count[0] == count[3] == 0
+    assert got.tolist() == [g for t in texts for g in plain_grams(t)]
+
+
+def plain_fusion(logp, rows):
+    """{id: (language, posterior, kept, by text)} by loops; rows: id, text, declared label, host, suffix."""
+    labels = [*sorted(logp), "und"]
+    n = len(labels)
+
+    def softmax(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    def sums(key):
+        out = collections.defaultdict(lambda: [0.0] * n)
+        for r, p, g in zip(rows, post, grams, strict=True):
+            if g and key(r) is not None:
+                out[key(r)] = [a + b for a, b in zip(out[key(r)], p, strict=True)]
+        return out
+
+    def smooth(c, base):
+        return [(x + 20 * b) / (sum(c) + 20) for x, b in zip(c, base, strict=True)]
+
+    def domain(r):
+        return None if r[3] is None else ".".join(r[3].split(".")[-2:])
+
+    grams = [plain_grams(r[1] or "") for r in rows]
+    lik = [[*(0.3 * sum(logp[k][x] for x in g) for k in labels[:-1]), 0.3 * len(g) * -math.log(1 << 15)] for g in grams]
+    post = [softmax(x) for x in lik]
+    total = sums(lambda r: 0)[0]
+    world = [(x + 1) / (sum(total) + n) for x in total]
+    domains, hosts, declared, suffixes = sums(domain), sums(lambda r: r[3]), sums(lambda r: r[2]), sums(lambda r: r[4])
+    out = {}
+    for r, x, p, g in zip(rows, lik, post, grams, strict=True):
+        prior = smooth(hosts[r[3]], smooth(domains[domain(r)], world)) if r[3] in hosts else world
+        logs = [a + math.log(b) for a, b in zip(x, prior, strict=True)]
+        for table, key in ((declared, r[2]), (suffixes, r[4])):
+            if key in table:
+                logs = [a + math.log((c + 0.5) / (m + 5)) for a, c, m in zip(logs, table[key], total, strict=True)]
+        fused = softmax(logs)
+        best = labels[fused.index(max(fused))] if g else "und"
+        out[r[0]] = (best, max(fused), best != "und" and max(fused) >= 0.5, labels[p.index(max(p))] if g else "und")
+    return out
+
+
+def plain_model(docs):
+    counts = collections.defaultdict(collections.Counter)
+    for r in docs:
+        if r["lang"] is not None and r["text"] is not None:
+            counts[r["lang"]].update(plain_grams(r["text"]))
+    return {k: [math.log((c[x] + 0.1) / (c.total() + 0.1 * (1 << 15))) for x in range(1 << 15)] for k, c in counts.items()}
+
+
+def test_language_queries_equal_plain_fusion(spark, sf):
+    """Both queries; the tables have fewer than 400 rows a language, so the sample is all of them."""
+    from nearframe.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    logp = plain_model(docs)
+    label = {k: k for k in logp} | {None: None}
+    pages = [r for r in langid.page_evidence(spark.read.parquet(f"{sf}/pages.parquet")).collect()]
+    cases = {
+        "doc_id": (queries.op2_language_id, [(r["doc_id"], r["text"], label.get(r["lang"], "other"), r["source"] and r["source"].lower(), None) for r in docs]),
+        "page_id": (queries.op2_language_id_pages, [(r["page_id"], r["text"], label.get(r["declared"] and r["declared"].lower(), "other"), r["host"] and r["host"].lower(),
+                    r["host"].lower().split(".")[-1] if r["host"] and "." in r["host"] else None) for r in pages]),
+    }
+    for key, (query, rows) in cases.items():
+        want = plain_fusion(logp, rows)
+        got = {r[key]: (r["lang_id"], r["posterior"], r["text_lang"]) for r in query(spark, sf).collect()}
+        assert set(got) == set(want)
+        for k, (lang, posterior, by_text) in got.items():
+            assert posterior == pytest.approx(want[k][1], abs=1e-5) and (lang, by_text) == (want[k][0], want[k][3])
+
+
+def test_fusion_of_odd_rows_in_one_batch_equals_plain(spark):
+    train = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "le chat est sur la table", "fr"), (3, "der Hund und die Katze", "de")], "doc_id long, text string, lang string")
+    rows = [(1, "", "fr", "a.b.c", "c"), (2, "the cat", None, "x.b.c", "c"), (3, None, "en", None, None), (4, "le", "other", "a.b.c", "c"), (5, "12 34", None, "b", None), (6, "die Katze", "de", None, "de"), (7, "", None, None, None)]
+    df = spark.createDataFrame([(*r[:2], r[2] and r[2].replace("other", "zz-Q"), *r[3:]) for r in rows], "doc_id long, text string, d string, h string, s string").coalesce(1)
+    got = {r["doc_id"]: r for r in langid.identify(df, langid.fit(train), declared=F.col("d"), host=F.col("h"), suffix=F.col("s")).collect()}
+    for k, (lang, posterior, kept, by_text) in plain_fusion(plain_model(train.collect()), rows).items():
+        r = got[k]
+        assert (r["lang_id"], r["kept"], r["text_lang"]) == (lang, kept, by_text) and r["posterior"] == pytest.approx(posterior, abs=1e-5)
+    assert got[1]["lang_id"] == got[3]["lang_id"] == got[7]["lang_id"] == "und"
+
+
 def test_host_prior_and_declared_language_decide_short_text(spark):
     model = langid.Model(("aa", "bb"), np.full((2, langid.BUCKETS), -np.log(langid.BUCKETS) + 1, np.float32))
     lean = np.array(model.logp)
