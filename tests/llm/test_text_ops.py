@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import struct
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -14,8 +16,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from nearframe.llm import bpe, fingerprint, licenses, media, packing
-from nearframe.llm.vectext import prefix_hash, shingle_sets, slice_hash, window_argmin
+from nearframe.llm import bpe, fingerprint, licenses, media, packing, queries
+from nearframe.llm.vectext import BASE, BYTE_CODE, prefix_hash, shingle_sets, slice_hash, window_argmin
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOK = Tokenizer.from_file(PATH)
@@ -261,6 +263,71 @@ def test_compared_with_next(spark, real, odd):
     assert base64.b64decode(rows[0]["fingerprint"].split(":")[1]) is not None if rows else True
 
 
+def plain_chain(raw):
+    """The fingerprint of one text by loops: a list of sets of bits."""
+    def code(x):
+        h = (sum(int(BYTE_CODE[b]) * pow(BASE, k, 1 << 64) for k, b in enumerate(x)) + len(x) * 0xD6E8FEB86659FD93) % 2**64
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+        return h ^ h >> 31
+
+    part = [0] + [round(-(c / 64) * math.log2(c / 64) / 6 * 1000 * 2**20) for c in range(1, 65)]
+    rank = []
+    for p in range(len(raw) - 63):
+        h = min(sum(part[c] for c in Counter(raw[p : p + 64]).values()) >> 20, 1000)
+        rank.append(1000 - abs(h - 690) if 100 <= h <= 990 else 65535)
+    points = Counter()
+    for p in range(len(rank) - 63):
+        run = rank[p : p + 64]
+        points[p + run.index(min(run))] += 1
+    found = [raw[p : p + 64] for p in sorted(points) if points[p] >= 16 and rank[p] < 65535]
+    if not found and raw:
+        p = rank.index(min(rank)) if rank else 0
+        found = [raw[p : p + 64]]
+    chain = [set() for _ in range(-(-len(found) // 160))]
+    for k, x in enumerate(found):
+        chain[k // 160] |= {code(x) >> 11 * j & 2047 for j in range(5)}
+    return chain
+
+
+def plain_likeness(a, b):
+    if not a or not b or a == b:
+        return float(a == b)
+
+    def overlap(x, y):
+        chance = len(x) * len(y) / 2048
+        return min(max((len(x & y) - chance) / max(min(len(x), len(y)) - chance, 1e-9), 0), 1)
+
+    ways = [sum(max(overlap(x, y) for y in q) for x in p) / len(p) for p, q in ((a, b), (b, a))]
+    return sum(ways) / 2 if len(a) == len(b) else ways[len(a) > len(b)]
+
+
+def bits_of(chain):
+    return [set(np.flatnonzero(np.unpackbits(f)).tolist()) for f in chain]
+
+
+def test_fingerprints_equal_plain_version(spark, sf):
+    """Odd texts, and the whole query over the documents of the smallest table."""
+    rng = np.random.default_rng(4)
+    raws = [x.encode() for x in ODD if x is not None] + [b"a" * 300, bytes(rng.integers(97, 123, 127).astype(np.uint8)), bytes(rng.integers(0, 256, 900).astype(np.uint8)), b"ab" * 31, b"abcdefgh" * 8, bytes(rng.integers(97, 105, 15_000).astype(np.uint8))]
+    for raw, got in zip(raws, fingerprint.filters(raws), strict=True):
+        assert bits_of(got) == plain_chain(raw)
+    assert any(len(plain_chain(r)) > 1 for r in raws)
+
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    got = {r["doc_id"]: r for r in queries.op7_fingerprints(spark, sf).collect()}
+    assert len(got) == len(docs)
+    chains = [plain_chain(t.encode()) for _, t in docs]
+    for k, (doc, t) in enumerate(docs):
+        u, cut = docs[(k + 1) % len(docs)][1], len(t) // 4
+        edited = t[: len(t) - cut] + u[:cut]
+        other = plain_chain(edited.encode())
+        r = got[doc]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert bits_of(fingerprint.load(r["fingerprint"])) == chains[k] and bits_of(fingerprint.load(r["edited_fingerprint"])) == other
+        assert r["near_edited"] == pytest.approx(plain_likeness(chains[k], other)) and r["near_next"] == pytest.approx(plain_likeness(chains[k], chains[(k + 1) % len(docs)]))
+
+
 def by_hash(df):
     """(id, text) in order: null ids first, rows of one id by a hash of the text."""
     return [(r["doc_id"], r["text"] or "") for r in df.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.asc_nulls_first("doc_id"), "h").collect()]
@@ -329,7 +396,6 @@ def test_windows_equal_all_windows():
 def test_media_and_pcm_are_stored_as_a_table(spark, sf):
     import glob
 
-    from nearframe.llm import queries
 
     base = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/nearframe-media-*"
     before = set(glob.glob(base))
