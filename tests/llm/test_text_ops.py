@@ -396,7 +396,6 @@ def test_windows_equal_all_windows():
 def test_media_and_pcm_are_stored_as_a_table(spark, sf):
     import glob
 
-
     base = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/nearframe-media-*"
     before = set(glob.glob(base))
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
