@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from nearframe.llm.bpe import Vocabulary, loaded, share
 from nearframe.llm.common import Scratch, prepare
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, ordinal long"
+SEGMENT = ["first", "last", "sequence", "offset", "per"]
 
 
 class Sums:
@@ -190,12 +190,14 @@ def pack(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col
     order = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = here.select("part", "length", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
     segments = plan(counts, capacity)
-    # the plan as one row a length: bounded by the capacity, so it can be broadcast at any input size
-    table: dict[int, list[tuple]] = {}
-    for size, first, last, sequence, offset, per in segments:
-        table.setdefault(size, []).append((first, last, sequence, offset, per))
-    schema = "length long, segments array<struct<first:long,last:long,sequence:long,offset:long,per:long>>"
-    lookup = spark.createDataFrame(list(table.items()), T._parse_datatype_string(schema))
+    # the plan as one row a length: bounded by the capacity, so it can be broadcast at any input size; as an Arrow
+    # table it is a local relation: from a list it would be an RDD that takes Python workers of a kind of its own
+    table: dict[int, list[dict[str, int]]] = {}
+    for size, *rest in segments:
+        table.setdefault(size, []).append(dict(zip(SEGMENT, rest, strict=True)))
+    kinds = [pa.int64(), pa.list_(pa.struct([(name, pa.int64()) for name in SEGMENT]))]
+    arrays = [pa.array(x, kind) for x, kind in zip((list(table), list(table.values())), kinds, strict=True)]
+    lookup = spark.createDataFrame(pa.Table.from_arrays(arrays, names=["length", "segments"]))
     placed = (
         cut.join(before, ["part", "length"])
         .join(F.broadcast(lookup), "length")

@@ -144,6 +144,12 @@ def test_packing_table(spark, odd, real):
     assert twice.count() == 2 * len(ODD)
 
 
+def test_packing_plan_takes_no_python_workers(spark, odd):
+    # a table made from a list is an RDD: its workers stay beside those of the operators, in a daemon of their own
+    plan = packing.pack(odd, PATH)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan
+
+
 def test_telephony_tables():
     assert media.MULAW[[0xFF, 0x7F, 0x00, 0x80]].tolist() == [0, 0, -32124, 32124]
     assert media.ALAW[[0xD5, 0x55, 0x2A, 0xAA]].tolist() == [8, -8, -32256, 32256]
