@@ -316,3 +316,19 @@ def test_pruning_broadcasts_no_edges(spark):
     pruned = graph_build.prune(graph_build.detour_counts(e), 2)
     for df in (pruned, graph_build.reverse_edges(pruned, 2), graph_build.merged(pruned, graph_build.reverse_edges(pruned, 2), 2)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_beam_search_passes_nothing_by_the_driver(spark, monkeypatch):
+    base = rows(spark, np.random.default_rng(9).normal(size=(40, 4)).tolist())
+    graph = spark.createDataFrame([(i, (i * j + 1) % 40) for i in range(40) for j in (1, 3, 7)], "src long, dst long")
+    q = graph_search.entries(asked(base.where("id % 9 = 0")), "fixed", 0)
+    state = q.select("q", F.col("entry").alias("id"), F.lit(1.0).alias("dist"), F.lit(None).cast("int").alias("hop"))
+    for df in graph_search._expand(state, q, base, graph, 6, 2, "l2", 1):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+    def fail(*_):
+        raise AssertionError("a broadcast")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", fail)
+    found = graph_search.in_memory(q, base, graph, 5, 6, 2)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 25
