@@ -332,3 +332,20 @@ def test_beam_search_passes_nothing_by_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", fail)
     found = graph_search.in_memory(q, base, graph, 5, 6, 2)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 25
+
+
+@pytest.mark.parametrize("held", [1 << 29, 1000])
+def test_all_distances_are_sorted_in_bounded_memory(spark, sf, held, monkeypatch):
+    from nearframe.plans import registry
+
+    x = np.random.default_rng(7).integers(0, 3, (60, 2)).astype(float)  # many ties
+    base = rows(spark, x.tolist()).cache()
+    got = {}
+    for r in exact.sort_all(asked(base.where("id % 10 = 0")), base, exclude_self=True, held_bytes=held).orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append((r["dist"], r["id"]))
+    dist = exact.distances("l2", x[::10], x)
+    assert got == {q: sorted((dist[q // 10, i], i) for i in range(60) if i != q) for q in range(0, 60, 10)}
+    monkeypatch.setattr(exact, "SORTED_BYTES", 100)
+    assert exact.sort_all(asked(base), base, held_bytes=held).count() == 3600
+    monkeypatch.setattr(exact, "knn", None)  # which holds k rows a query
+    registry.QUERIES["distance_sort_full"](spark, sf)
