@@ -321,7 +321,7 @@ def final_graph(spark, sf) -> DataFrame:
 query("knn_graph", f"WITH {E}, {KNN} SELECT src, dst, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist FROM knn")(lambda spark, sf: graph_build.knn_graph(base(spark, sf), CANDIDATES).select("src", "dst", F.col("rank").cast("int").alias("rank"), F.round("dist", 6).alias("dist")))
 query("graph_detour_count", f"WITH {GRAPH} SELECT src, dst, CAST(rank AS INTEGER) AS rank, cnt FROM det")(lambda spark, sf: graph_build.detour_counts(edges(spark, sf)).select("src", "dst", F.col("rank").cast("int").alias("rank"), "cnt"))
 query("graph_prune", f"WITH {GRAPH} SELECT src, dst, CAST(slot AS INTEGER) AS slot, cnt FROM pr")(lambda spark, sf: graph_build.prune(graph_build.detour_counts(edges(spark, sf)), DEGREE).select("src", "dst", F.col("slot").cast("int").alias("slot"), "cnt"))
-query("graph_reverse", f"WITH {GRAPH} SELECT node, pred, CAST(slot AS INTEGER) AS slot, cnt FROM rev")(lambda spark, sf: graph_build.reverse_edges(graph_build.prune(graph_build.detour_counts(edges(spark, sf)), DEGREE), DEGREE).select("node", "pred", F.col("slot").cast("int").alias("slot"), "cnt"))
+query("graph_reverse", f"WITH {GRAPH} SELECT node, pred, CAST(slot AS INTEGER) AS slot, cnt FROM rev")(lambda spark, sf: graph_build.reverse_edges(stage(graph_build.prune(graph_build.detour_counts(edges(spark, sf)), DEGREE)), DEGREE).select("node", "pred", F.col("slot").cast("int").alias("slot"), "cnt"))
 query("graph_final", f"WITH {GRAPH} SELECT src, CAST(slot AS BIGINT) AS slot, dst FROM fin")(lambda spark, sf: graph_build.build(base(spark, sf), CANDIDATES, DEGREE))
 query("graph_degree_stats", f"WITH {GRAPH}, o AS (SELECT src, count(*) AS d FROM fin GROUP BY src), i AS (SELECT dst, count(*) AS d FROM fin GROUP BY dst) SELECT count(*) AS nodes, CAST(sum(d) AS BIGINT) AS edges, min(d) AS min_out, max(d) AS max_out, (SELECT max(d) FROM i) AS max_in FROM o")(lambda spark, sf: graph_build.degree_stats(final_graph(spark, sf)))
 
@@ -759,5 +759,6 @@ def _(spark, sf):
 @query("neighbour_selection", f"WITH {GRAPH} SELECT 'simple' AS how, src, dst FROM knn WHERE rank < {DEGREE} UNION ALL SELECT 'heuristic', src, dst FROM pr")
 def _(spark, sf):
     """Simple selection takes the nearest, heuristic selection those of fewest detours."""
-    found = [graph_build.select_neighbours(edges(spark, sf), DEGREE, how).select(F.lit(how).alias("how"), "src", "dst") for how in ("simple", "heuristic")]
+    knn = edges(spark, sf)
+    found = [graph_build.select_neighbours(knn, DEGREE, how).select(F.lit(how).alias("how"), "src", "dst") for how in ("simple", "heuristic")]
     return found[0].union(found[1])

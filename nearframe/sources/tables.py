@@ -6,6 +6,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearframe.sources.staging import stage
+
 
 def load_vectors(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """Base vectors; n: only ids below n, a filter that reaches the Parquet scan."""
@@ -14,7 +16,11 @@ def load_vectors(spark: SparkSession, path: str, n: int | None = None) -> DataFr
 
 
 def dump_graph(graph: DataFrame, path: str, files: int | None = None) -> None:
-    """Writes (src, slot, dst) clustered by src, so that reading a vertex's edges touches one file."""
+    """Writes (src, slot, dst) clustered by src, so that reading a vertex's edges touches one file.
+
+    The graph is staged: ranges are found in a sample, for which what makes the graph would run once more.
+    """
+    graph = stage(graph)
     ordered = graph.repartitionByRange(files, "src") if files else graph.repartitionByRange("src")
     ordered.sortWithinPartitions("src", "slot").write.mode("overwrite").parquet(path)
 
@@ -48,7 +54,8 @@ def load_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_edges(edges: DataFrame, path: str) -> None:
-    """Writes targets and weights apart, <path>/dst and <path>/val, both by edge number within a source."""
+    """Writes targets and weights apart, <path>/dst and <path>/val, both by edge number within a source; the edges are staged first."""
+    edges = stage(edges.select("src", "slot", "dst", "weight"))
     for name, column in (("dst", "dst"), ("val", "weight")):
         edges.select("src", "slot", column).repartitionByRange("src").sortWithinPartitions("src", "slot").write.mode("overwrite").parquet(f"{path}/{name}")
 

@@ -349,3 +349,25 @@ def test_all_distances_are_sorted_in_bounded_memory(spark, sf, held, monkeypatch
     assert exact.sort_all(asked(base), base, held_bytes=held).count() == 3600
     monkeypatch.setattr(exact, "knn", None)  # which holds k rows a query
     registry.QUERIES["distance_sort_full"](spark, sf)
+
+
+def test_analysis_of_a_graph_makes_it_once(spark, tmp_path, sf, monkeypatch):
+    from nearframe.plans import registry
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    g = spark.createDataFrame([(i, 0, (i + 1) % 9, 1.0) for i in range(9)], "src long, slot long, dst long, weight double").repartition(3)
+    for use in (lambda x: tables.dump_graph(x, str(tmp_path / "g")), lambda x: tables.split_edges(x, str(tmp_path / "e")), lambda x: graph_analytics.components(x).collect()):
+        before = made.value
+        use(g.mapInArrow(count, g.schema))
+        assert made.value - before == 9
+    calls = []
+    knn = graph_build.knn_graph
+    monkeypatch.setattr(graph_build, "knn_graph", lambda *a: calls.append(a) or knn(*a))
+    registry.QUERIES["neighbour_selection"](spark, sf)
+    assert len(calls) == 1
